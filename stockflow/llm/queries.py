@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, warc
+from . import fingerprints, packing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
 }
 

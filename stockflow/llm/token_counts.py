@@ -15,7 +15,7 @@ from . import common
 #: Most words in a task's memory of counts; it starts anew beyond that.
 CACHE_WORDS = 1 << 18
 LONG_WORD = 64
-END = ""  # the sign that a word ends, as a symbol of its own
+START = "Ġ"  # the byte-level sign of a space, with which each word begins
 COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("n_unknown", T.LongType())])
 
 
@@ -23,9 +23,8 @@ class Automaton:
     """Trie of a vocabulary with failure links, for greedy longest match in time linear in the word.
 
     pop[v]: how many pieces greedy match cuts off the string of node v before the rest is that of fail[v].
-    fail[v] is -1 where greedy match has no piece to cut off. A piece is a tuple of symbols, the
-    last of which may be END, for those that only end a word. A symbol that no piece begins with is skipped and
-    counts as unknown.
+    fail[v] is -1 where greedy match has no piece to cut off. A piece is a tuple of symbols.
+    A symbol that no piece begins with is skipped and counts as unknown.
     """
 
     def __init__(self, pieces: list[tuple[str, ...]]):
@@ -94,28 +93,23 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def word_end_vocabulary(path: str, suffix: str = "</w>") -> list[tuple[str, ...]]:
-    """The vocabulary of a tokenizers file as tuples of byte signs; those with the suffix end in END."""
+def byte_level_vocabulary(path: str) -> list[tuple[str, ...]]:
+    """The pieces of a byte-level tokenizers file: those that begin a word begin with START, the others go on within one."""
     with open(path) as file:
         model = json.load(file)
     special = {t["content"] for t in model["added_tokens"]}
-    out = []
-    for token in model["model"]["vocab"]:
-        if token not in special:
-            out.append((*token.removesuffix(suffix), END) if token.endswith(suffix) else tuple(token))
-    return out
+    return [tuple(token) for token in model["model"]["vocab"] if token not in special]
 
 
 @lru_cache(2)
 def automaton(path: str) -> Automaton:
-    return Automaton(word_end_vocabulary(path))
+    return Automaton(byte_level_vocabulary(path))
 
 
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """n_words, n_pieces and n_unknown of each row (doc_id, text).
 
-    Letters A-Z are lowered; words are runs of characters other than space and U+0009-U+000D; a word is its
-    UTF-8 bytes, then END. A null or empty text has 0 of each. Repeated rows count each for itself.
+    Words are runs of characters other than space and U+0009-U+000D; a word is START, then its UTF-8 bytes. A null or empty text has 0 of each. Repeated rows count each for itself.
     """
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -124,11 +118,11 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
             machine.known = {}
         known = machine.known
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or "").encode().lower().split()
+            words = (text.as_py() or "").encode().split()
             n = unknown = 0
             for word in words:
                 if (got := known.get(word)) is None:
-                    got = machine.count([*map(sign.__getitem__, word), END])
+                    got = machine.count([START, *map(sign.__getitem__, word)])
                     if len(word) <= LONG_WORD:
                         if len(known) >= CACHE_WORDS:
                             known.clear()
@@ -141,7 +135,7 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over documents, by the vocabulary with word ends."""
+    """Over documents, by a byte-level vocabulary."""
     import public_tokenizers
 
-    return count_pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return count_pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
