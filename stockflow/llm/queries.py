@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, token_counts, warc
+from . import fingerprints, packing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_secrets": secrets.op3_secrets,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op3_secrets": secrets.OP3_SQL,
 }
