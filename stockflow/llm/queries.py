@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, secrets, token_counts, warc
+from . import fingerprints, near_dup, packing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_secrets": secrets.op3_secrets,
+    "op4_near_dup": near_dup.op4_near_dup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
 }
