@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_extract, language_id, near_dup, packing, secrets, token_counts, warc
+from . import decontaminate, fingerprints, html_extract, language_id, lm_score, near_dup, packing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dup": near_dup.op4_near_dup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
     "op10_html_text": html_extract.op10_html_text,
