@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text in one Arrow batch that goes back to Spark, so that very long documents don't pile up.
@@ -39,6 +39,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores after it as make it unlike all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but those rows of which (doc_id, h) is in rejected, h a hash of the text. Columns of docs stay as they are."""
+    doc, h = fresh("rejected_doc", docs.columns), fresh("rejected_text", docs.columns)
+    rejected = rejected.select(F.col("doc_id").alias(doc), F.col("h").alias(h))
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[doc]) & (F.xxhash64(docs["text"]) == rejected[h]), "left_anti")
+
+
 def map_rows(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatch], Iterator[tuple]], size: Callable[[tuple], int] = lambda row: 200) -> DataFrame:
     """mapInArrow by a function that yields tuples for a batch; what it yields goes back in batches of BATCH_BYTES at most."""
     arrow = to_arrow_schema(schema)

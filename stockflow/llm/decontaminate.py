@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import common
 
@@ -153,5 +153,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], LEAK)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """Rows (doc_id, text, and any others) but those of documents with a leak; rows of one doc_id stay or go together."""
+    gone = common.fresh("gone", docs.columns)
+    rejected = leaks(docs, benchmark, rate).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[gone]), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -167,6 +167,20 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     return fused.withColumn("best", top_of).select(*kept, choice.alias("language"), F.round(1 / mass, 6).alias("confidence"), text_lang.alias("text_language"))
 
 
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, lang, source, and any others) but those whose text is in no language that labels name.
+
+    lang is the declared language and source the host. A text without a letter says nothing against its row: the other evidence
+    decides. An empty table, and one without labels, stays as it is.
+    """
+    model = fitted(docs)
+    if len(model.languages) == 1:
+        return docs
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", F.lower("lang").alias("declared"), F.lower("source").alias("host"))
+    found = identify(rows, model)
+    return common.without(docs, found.where((F.col("language") == OTHER) & (F.col("text_language") == OTHER)).select("doc_id", "h"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over pages: page_id, url, declared, language, confidence and text_language, the language by the text alone."""
     model = fitted(common.table(spark, sf_dir, "documents"))

@@ -210,5 +210,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, text, and any others) but those whose document has a near duplicate of smaller doc_id among those linked to it.
+
+    Rows of one doc_id stay or go together; those of a null one stay.
+    """
+    gone = common.fresh("gone", docs.columns)
+    rejected = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(rejected, docs["doc_id"] == rejected[gone], "left_anti")
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=2)

@@ -83,12 +83,14 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs with `found`, the spans of each row's text: an empty array where there are none, also in a null text."""
+def with_spans(docs: DataFrame, name: str = "found", **options) -> DataFrame:
+    """docs with the spans of each row's text as column `name`: an empty array where there are none, also in a null text."""
     text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    rows = spans(docs, **options).select(F.col("doc_id").alias("span_doc"), F.col("h").alias("span_h"), "found")
-    same = F.col(doc_id).eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.col(text)) == F.col("span_h"))
-    return docs.join(rows, same, "left").drop("span_doc", "span_h").withColumn("found", F.coalesce("found", F.array().cast(rows.schema["found"].dataType)))
+    doc, h, own = (common.fresh(x, docs.columns) for x in ("span_doc", "span_text", "spans"))
+    rows = spans(docs, **options).select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("found").alias(own))
+    same = docs[doc_id].eqNullSafe(rows[doc]) & (F.xxhash64(docs[text]) == rows[h])
+    empty = F.array().cast(rows.schema[own].dataType)
+    return docs.join(rows, same, "left").withColumn(name, F.coalesce(own, empty)).drop(doc, h, own)
 
 
 def redact(text: Column, found: Column) -> Column:
@@ -104,6 +106,16 @@ def redact(text: Column, found: Column) -> Column:
     return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, source, n_chars, and any others) with MASK for each live secret in the text; n_chars follows. A null text stays null."""
+    found = common.fresh("found", docs.columns)
+    rows = with_spans(docs, found)
+    live = F.filter(found, lambda x: x["live"])
+    text = F.when(F.size(live) > 0, redact(F.col("text"), live)).otherwise(F.col("text"))
+    length = F.when(F.size(live) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
+
+
 def of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
