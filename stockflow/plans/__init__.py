@@ -1,4 +1,7 @@
 """The named queries and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import stock
+
+MODULES = (stock,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
