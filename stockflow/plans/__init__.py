@@ -1,7 +1,7 @@
 """The named queries and the SQL they are checked against."""
 
-from . import stock
+from . import admin, forecasts, orders, stock, vendors
 
-MODULES = (stock,)
+MODULES = (stock, vendors, forecasts, orders, admin)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1,5 +1,7 @@
 """The logical tables as SQL, for the oracles."""
 
+import re
+
 VIEWS = {
     "items": """SELECT p_partkey + 1 AS item_id, p_partkey::VARCHAR AS sku, p_name AS description, p_brand AS brand, p_type AS category_top_level,
   p_type || '/' || p_brand AS category_level_2, p_type || '/' || p_brand || '/' || p_size AS category_path, p_size::BIGINT AS reorder_point, (p_size * 2)::BIGINT AS reorder_level FROM part""",
@@ -77,11 +79,14 @@ STATUS = """CASE WHEN reorder_point <= 0 AND desired_level <= 0 THEN 'no_demand'
 
 def over(sql: str, **more: str) -> str:
     """sql with the views that it names, and those that they name, before it; `more` are views of its own."""
-    views, needed, todo = VIEWS | more, set(), [sql]
-    while todo:
-        text = todo.pop()
+    views, ordered = VIEWS | more, []
+
+    def add(text: str, within: tuple[str, ...]) -> None:
+        words = set(re.findall(r"\w+", text))
         for name in views:
-            if name not in needed and f" {name}" in text.replace("\n", " ").replace("(", " ").replace(",", " "):
-                needed.add(name)
-                todo.append(views[name])
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in views if n in needed) + "\n" + sql
+            if name in words and name not in ordered and name not in within:
+                add(views[name], (*within, name))
+                ordered.append(name)
+
+    add(sql, ())
+    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in ordered) + "\n" + sql
