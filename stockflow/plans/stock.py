@@ -22,11 +22,11 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     qualified = t.stock_log(spark, sf_dir).select("item_id").distinct()
     shops = t.sales(spark, sf_dir).where(F.col("shop_id").isin(*t.TARGET_SHOPS)).select("sale_id")
     lines = t.sale_lines(spark, sf_dir).join(qualified, "item_id", "left_semi").join(shops, "sale_id", "left_semi")
-    return latest_version(lines, t.LINE_ID, t.NEWEST_LINE)
+    return latest_version(lines, t.LINE_ID, t.newest_line())
 
 
 def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_version(t.sale_lines(spark, sf_dir), t.LINE_ID, t.NEWEST_LINE)
+    return latest_version(t.sale_lines(spark, sf_dir), t.LINE_ID, t.newest_line())
 
 
 def latest_sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The day that queries look back from.
 AS_OF = date(2001, 8, 1)
@@ -72,11 +72,14 @@ def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The newest version of a line comes first; no two versions that differ are tied.
-NEWEST_LINE = [F.desc(c) for c in ("updated_time", "item_id", "vendor_id", "quantity", "price")]
 LINE_ID = ["sale_id", "line_no"]
 
 
+def newest_line() -> list[Column]:
+    """The newest version of a line comes first; no two versions that differ are tied."""
+    return [F.desc(c) for c in ("updated_time", "item_id", "vendor_id", "quantity", "price")]
+
+
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"))
 
@@ -119,7 +122,7 @@ def special_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items ordered for a customer: a row per line of a sale, its latest version. Every fifth has been told to its customer."""
     from ..operators.versions import latest_version
 
-    line = latest_version(sale_lines(spark, sf_dir), LINE_ID, NEWEST_LINE)
+    line = latest_version(sale_lines(spark, sf_dir), LINE_ID, newest_line())
     orders = sales(spark, sf_dir)
     ordered = F.col("status").isin("P", "F")
     return line.join(orders, "sale_id").select(
