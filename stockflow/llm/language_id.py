@@ -21,11 +21,26 @@ OTHER = "und"
 SCRIPT = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*+(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 
 
+#: Bytes that words of a language don't have.
+FOREIGN = np.isin(np.arange(256), np.frombuffer(b"0123456789@_/=\\", np.uint8))
+
+
 def trigrams(text: str) -> np.ndarray:
-    """Slots of the byte trigrams of the words, white space as one space, A-Z lowered. Texts without a letter have none."""
+    """Slots of the byte trigrams of the words, white space as one space, A-Z lowered.
+
+    Numbers, addresses and keys are in no language: words with a FOREIGN byte are left out. Texts without a letter have none.
+    """
     if not any(map(str.isalpha, text[:200])) and not any(map(str.isalpha, text)):
         return np.zeros(0, np.int64)
-    b = np.frombuffer(b" " + b" ".join(text.encode().lower().split()) + b" ", np.uint8).astype(np.uint32)
+    b = np.frombuffer(b" " + b" ".join(text.encode().lower().split()) + b" ", np.uint8)
+    if (foreign := FOREIGN[b]).any():
+        word = np.cumsum(b == 32)
+        out = np.zeros(word[-1] + 1, bool)
+        out[word[foreign]] = True
+        b = b[~out[word]]
+    if len(b) < 3:
+        return np.zeros(0, np.int64)
+    b = b.astype(np.uint32)
     h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
 
