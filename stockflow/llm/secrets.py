@@ -108,12 +108,12 @@ def redact(text: Column, found: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, source, n_chars, and any others) with MASK for each live secret in the text; n_chars follows. A null text stays null."""
-    found = common.fresh("found", docs.columns)
-    rows = with_spans(docs, found)
+    found, new = (common.fresh(x, docs.columns) for x in ("found", "redacted"))
     live = F.filter(found, lambda x: x["live"])
-    text = F.when(F.size(live) > 0, redact(F.col("text"), live)).otherwise(F.col("text"))
-    length = F.when(F.size(live) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
+    # a column of its own: within lambda functions, "text" would be taken for the new one beside it
+    rows = with_spans(docs, found).withColumn(new, F.when(F.size(live) > 0, redact(F.col("text"), live)))
+    length = F.coalesce(F.length(new).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return rows.select(*({"text": F.coalesce(new, "text").alias("text"), "n_chars": length.alias("n_chars")}.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:

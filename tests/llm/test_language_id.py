@@ -30,7 +30,7 @@ def test_evidence(spark, sf):
 def test_rejection_keeps_clean_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rng = random.Random(3)
-    noise = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)) for _ in range(3)] + ["".join(rng.choice("qxzjkvwQXZ0189#%") for _ in range(600)) for _ in range(3)]
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)) for _ in range(3)] + ["".join(rng.choice("qxzjkvwQXZ qz") for _ in range(600)) for _ in range(3)]
     strange = spark.createDataFrame([(10_000 + i, t, None, "noise.example", len(t)) for i, t in enumerate(noise)], "doc_id long, text string, lang string, source string, n_chars long")
     odd = spark.createDataFrame([(20_000, None, "en", "src1", 0), (20_001, "", None, None, 0), (20_002, "...", "fr", "src2", 3)], strange.schema)
     both = docs.select(*strange.columns).unionByName(strange).unionByName(odd).withColumn("h", F.lit("clash"))

@@ -17,7 +17,7 @@ def corpus(spark, sf, tmp_path_factory):
     clean = next(r[1] for r in rows if 2000 < len(r[1]) < 6000)
     edited = clean.split()
     edited[len(edited) // 2] = "changed"
-    planted = {9001: clean, 9002: " ".join(edited), 9003: "Words before. " + item.replace("e", "3", 2) + " Words after.", 9004: "my password: Zq9xLm3PvR and more of the text", 9005: "".join(rng.choice("qxzjkvwQXZ0189#%") for _ in range(600)), 9006: None, 9007: ""}
+    planted = {9001: clean, 9002: " ".join(edited), 9003: "Words before. " + item.replace("e", "3", 2) + " Words after.", 9004: "my password: Zq9xLm3PvR and more of the text", 9005: "".join(rng.choice("qxzjkvwQXZ qz") for _ in range(600)), 9006: None, 9007: ""}
     folder = tmp_path_factory.mktemp("corpus")
     table = [(*r, "clash") for r in rows] + [(k, t, None if k == 9005 else "en", f"s{k}", len(t or ""), "clash") for k, t in planted.items()]
     spark.createDataFrame(table, SCHEMA).write.parquet(f"{folder}/documents.parquet")
