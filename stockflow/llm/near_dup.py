@@ -5,19 +5,22 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
 #: Bands of a sketch and coordinates in each. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**6)**42 < 3e-6.
 BANDS, ROWS = 42, 6
 CACHE_WORDS = 1 << 18
-#: Rounds that test each bucket against a leader only, before the pairs that are still open are tested one by one.
-LEADERS = 3
+#: Buckets of so many members or fewer are tested pair by pair once they have met one leader; larger ones in blocks of at most so many
+#: documents and shingles, once they have met two.
+SMALL, BLOCK_DOCS, BLOCK_SHINGLES = 8, 512, 1_000_000
 SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -139,19 +142,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return common.written(common.map_rows(both, LINK, rows, lambda r: 16).distinct(), "links")
 
 
+def confirmed_in_blocks(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members (key, doc_id, component, n_shingles) of one bucket that are in different components. Written to the shared folder.
+
+    Buckets with the same leader are one group. Most of a group is joined already, in its main component, so the others meet each other
+    and the main component's members. They do so in cells of two blocks each, so that a task holds two blocks at most, a document
+    moves once for each cell and not for each pair, and only links come out.
+    """
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("lead"))).alias("first")
+    leads = common.written(open_.groupBy("key").agg(first).select("key", "first.lead"), "block-leads")
+    near = common.written(open_.join(leads, "key").select("lead", "doc_id", "component", "n_shingles").distinct(), "block-members")
+    counts = near.groupBy("lead", "component").agg(F.count("*").alias("n"))
+    main = common.written(counts.groupBy("lead").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "block-main")
+    sides = common.written(near.join(main, "lead").select("lead", "doc_id", "component", "n_shingles", (F.col("component") != F.col("main")).alias("minor")), "block-sides")
+    needed = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = sides.groupBy("lead", "minor").agg(needed.alias("blocks")).groupBy("lead").agg(F.max(F.when(F.col("minor"), F.col("blocks"))).alias("minors"), F.max(F.when(~F.col("minor"), F.col("blocks"))).alias("mains"))
+    dealt = sides.join(common.written(sizes.where("minors is not null"), "block-sizes"), "lead")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))) + F.when(F.col("minor"), 0).otherwise(F.col("minors"))
+    dealt = dealt.withColumn("block", block)
+    cell = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    minors = F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)
+    own = F.concat(F.array_distinct(F.transform(minors, lambda j: cell(F.least(F.col("block"), j), F.greatest(F.col("block"), j)))), F.transform(F.sequence(F.col("minors"), F.col("minors") + F.col("mains") - 1), lambda j: cell(F.col("block"), j)))
+    cells = dealt.select("lead", "doc_id", "component", "block", F.explode(F.when(F.col("minor"), own).otherwise(F.transform(minors, lambda i: cell(i, F.col("block"))))).alias("cell"))
+    rows = cells.select("lead", "cell.lo", "cell.hi", "block", "doc_id", "component").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+    arrow = to_arrow_schema(LINK)
+
+    def links(table: pa.Table) -> pa.Table:
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        ids, component, block = (np.array(table[c].to_pylist()) for c in ("doc_id", "component", "block"))
+        sets = [shingles(t.as_py(), words) for t in table["text"]]
+        size = np.array([len(x) for x in sets])
+        names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, has, found = np.cumsum(size) - size, np.zeros(len(names), bool), []
+        for i in np.flatnonzero(block == lo):
+            mine = codes[starts[i] : starts[i] + size[i]]
+            has[mine] = True
+            shared = np.add.reduceat(has[codes], starts, dtype=np.int64)
+            has[mine] = False
+            alike = (100 * shared >= percent * (size + size[i] - shared)) & (component != component[i]) & (block == hi)
+            found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in np.flatnonzero(alike)]
+        return pa.Table.from_batches([common.to_batch(sorted(set(found)), arrow)])
+
+    return common.written(rows.groupBy("lead", "lo", "hi").applyInArrow(links, LINK).distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node of links (a, b): component is the least node that it is joined to.
 
-    Rounds of large star and small star, each written to the shared folder. Least neighbours come from partial aggregates
-    and go back in joins, of which Spark splits the partition of a node with very many links.
+    Rounds of large star and small star, written to the shared folder, until all links form stars about their least nodes. Least
+    neighbours come from partial aggregates and go back in joins, of which Spark splits the partition of a node with very many links.
     """
     edges = common.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
-    before = None
-    while (now := edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()) != before:
-        before = now
-        if not now["n"]:
-            break
-        both = common.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "star-both")
+    while not (edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("c")).distinct(), F.col("a") == F.col("c"), "left_semi").isEmpty()):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-least")
         large = common.written(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star-large")
         least = common.written(large.groupBy("a").agg(F.min("b").alias("m")), "star-least")
@@ -168,42 +211,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reach. Documents without shingles, and those with a null doc_id, are linked with nothing. A document with equal
     set follows the one of smallest doc_id, so that copies make one class before anything is compared.
 
-    Classes that share a band's bucket are candidates. A bucket of any size is tested against its leader first, a pair for
-    each member; what that leaves in different components meets other leaders, in LEADERS rounds, and then pair by pair. So
-    a large group of near copies costs a few pairs a member, and no pair of a bucket goes untested unless its ends are joined already.
+    Classes that share a band's bucket are candidates. A bucket of any size meets its leader first, a pair for each member. What that leaves in
+    different components is tested pair by pair in a small bucket. A large one meets a second leader, and what is still open in it is
+    tested in blocks. So a large group of near copies costs a few pairs a member, and no pair of a bucket goes untested
+    unless its ends are joined already.
     """
     docs = docs.select("doc_id", "text")
     found = common.written(sketches(docs, words), "sketches")
     useful = found.where("n_shingles > 0 and doc_id is not null")
-    classes = common.written(useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    members = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
+    classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "n_shingles"), "doc_id").alias("own"))
+    classes = common.written(classes.select("digest", "rep", "own.bands", "own.n_shingles"), "classes")
+    members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = common.written(members.join(common.written(shared, "buckets"), "key"), "members").distinct()
-    links = tested = labels = None
-    for turn in range(LEADERS + 1):
+    links, tested, labels = [], None, docs.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(3):
         open_ = members.withColumn("component", F.col("doc_id"))
-        if labels is not None:
+        if turn:
             known = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
-            open_ = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
-            split = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-            open_ = common.written(open_.join(common.written(split.select("key"), "open-keys"), "key"), "open")
+            now = common.written(members.join(known, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("known", "doc_id").alias("component")), "labelled")
+            split = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").where(F.col("n") > (2 if turn == 1 else SMALL))
+            open_ = common.written(now.join(common.written(split.select("key", "n"), "open-keys"), "key"), "open")
             if open_.isEmpty():
-                break
-        if turn < LEADERS:
-            first = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("order"), F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
-            leads = common.written(open_.groupBy("key").agg(F.min(first).alias("first")).select("key", "first.lead", "first.lead_component"), "leads")
-            pairs = open_.join(leads, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+                continue
+        if turn == 2:
+            new = confirmed_in_blocks(open_, docs, words, percent)
         else:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-            pairs = open_.join(other, "key").where("doc_id < b and component <> component_b").select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = confirmed(pairs, docs, words, percent)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+            large = open_.where(F.col("n") > SMALL) if turn else open_
+            order = F.xxhash64("doc_id", "key") if turn else F.xxhash64("doc_id")  # other leaders in each bucket, the second time
+            first = F.struct(order.alias("order"), F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
+            leads = common.written(large.groupBy("key").agg(F.min(first).alias("first")).select("key", "first.lead", "first.lead_component"), "leads")
+            pairs = large.join(leads, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+            if turn:
+                small = open_.where(F.col("n") <= SMALL)
+                other = small.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
+                each = small.join(other, "key").where("doc_id < b and component <> component_b").select(F.col("doc_id").alias("a"), "b")
+                pairs = pairs.unionByName(each).distinct().join(tested, ["a", "b"], "left_anti")
+            tested = common.written(pairs.distinct(), "pairs")
+            new = confirmed(tested, docs, words, percent)
+        if not new.isEmpty():
+            links.append(new)
+            labels = components(reduce(DataFrame.unionByName, links))
     class_of = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     rows = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(common.written(class_of, "class-of"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
