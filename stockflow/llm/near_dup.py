@@ -164,7 +164,7 @@ def confirmed_in_blocks(open_: DataFrame, docs: DataFrame, words: int, percent:
     minors = F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)
     own = F.concat(F.array_distinct(F.transform(minors, lambda j: cell(F.least(F.col("block"), j), F.greatest(F.col("block"), j)))), F.transform(F.sequence(F.col("minors"), F.col("minors") + F.col("mains") - 1), lambda j: cell(F.col("block"), j)))
     cells = dealt.select("lead", "doc_id", "component", "block", F.explode(F.when(F.col("minor"), own).otherwise(F.transform(minors, lambda i: cell(i, F.col("block"))))).alias("cell"))
-    rows = cells.select("lead", "cell.lo", "cell.hi", "block", "doc_id", "component").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+    rows = cells.select("lead", "cell.lo", "cell.hi", "block", "doc_id", "component").join(docs.select("doc_id", "text"), "doc_id")
     arrow = to_arrow_schema(LINK)
 
     def links(table: pa.Table) -> pa.Table:
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             split = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").where(F.col("n") > (2 if turn == 1 else SMALL))
             open_ = common.written(now.join(common.written(split.select("key", "n"), "open-keys"), "key"), "open")
             if open_.isEmpty():
-                continue
+                break
         if turn == 2:
             new = confirmed_in_blocks(open_, docs, words, percent)
         else:
