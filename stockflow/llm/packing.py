@@ -21,6 +21,8 @@ CAPACITY = 1024
 #: Most words in an encoder's cache; it starts anew beyond that.
 CACHE_WORDS = 1 << 19
 LONG_WORD = 64
+#: White space other than the plain space.
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -54,7 +56,12 @@ class Encoder:
         step = rules.get("pre_tokenizer") or {}
         self.by_word = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not rules.get("normalizer")
         self.words: dict[str, bytes] = {}
-        self.odd, self.cut = re.compile(r"\s | \s|\A | \Z"), re.compile(r"(?<=\S) (?=\S)")
+        self.cut = re.compile(r"(?<=\S) (?=\S)")
+
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether a space stands at an end of the text or beside other white space."""
+        return text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in SPACES)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -78,7 +85,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self.cut.split(t) if self.odd.search(t) else t.split(" ") for t in texts]
+        parts = [self.cut.split(t) if self.odd(t) else t.split(" ") for t in texts]
         first = [self.plain(p[0]) for p in parts]
         for p in parts:
             del p[0]
