@@ -33,7 +33,8 @@ PIECES = T.StructType(
         T.StructField("ids", T.BinaryType()),
     ]
 )
-PACKED = T.StructType([*PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+#: ids are little-endian integers, as of Encoder.kind: 2 bytes each in a vocabulary of 65,536 ids or fewer, else 4.
+PACKED = T.StructType([*PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), PIECES.fields[5]])
 
 
 class Encoder:
@@ -106,7 +107,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """PIECES of each document: full sequences, then the remainder with its ids. A null text is empty, and has end_id alone."""
+    """PIECES of each document: full sequences, then the remainder, all with their ids. A null text is empty, and has end_id alone."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         coder = encoder(tokenizer)
@@ -119,10 +120,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                 wide, n = memoryview(ids.astype("<u4").tobytes()), len(ids)
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
-                    kept = None if length == capacity else ids[start:].tobytes()
-                    yield doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, kept
+                    yield doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, ids[start : start + length].tobytes()
 
-    return common.map_rows(docs.select("doc_id", "text"), PIECES, rows, lambda r: 60 + len(r[5] or b""))
+    return common.map_rows(docs.select("doc_id", "text"), PIECES, rows, lambda r: 60 + len(r[5]))
 
 
 def best_fill(counts: list[int], target: int) -> dict[int, int]:
@@ -246,7 +246,7 @@ def ranked(found: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Packs documents (doc_id, text) into sequences; PACKED rows, one per piece.
+    """Packs documents (doc_id, text) into sequences; PACKED rows, one per piece, with its ids.
 
     Tokenizes once, into a table in the shared folder. The driver sees the number of pieces of each length only.
     Repeated rows are packed as often as they occur; an empty table gives no rows.
@@ -260,11 +260,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
             for shift, part, sequence, offset in plan.places(length, rank):
                 if part < length:
                     own = np.frombuffer(ids, width)[shift : shift + part]
-                    yield doc_id, start + shift, part, zlib.crc32(own.astype("<u4").tobytes()), tokens, sequence, offset
+                    yield doc_id, start + shift, part, zlib.crc32(own.astype("<u4").tobytes()), tokens, sequence, offset, own.tobytes()
                 else:
-                    yield doc_id, start, length, crc, tokens, sequence, offset
+                    yield doc_id, start, length, crc, tokens, sequence, offset, ids
 
-    return common.map_rows(ranked(found).select(*PIECES.names, "rank"), PACKED, rows, lambda r: 80)
+    return common.map_rows(ranked(found).select(*PIECES.names, "rank"), PACKED, rows, lambda r: 80 + len(r[7]))
 
 
 def default_tokenizer() -> str:
@@ -274,4 +274,5 @@ def default_tokenizer() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), default_tokenizer())
+    """Places and digests of the pieces; their ids are in pack's rows."""
+    return pack(common.table(spark, sf_dir, "documents"), default_tokenizer()).drop("ids")

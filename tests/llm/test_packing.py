@@ -98,3 +98,18 @@ def test_words_of_an_encoder_are_those_of_whole_texts():
     texts = ["".join(rng.choice(["a", "b ", " c", "  ", "\n", "é", "'s", "12", "."]) for _ in range(60)) for _ in range(200)]
     for text, raw in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(raw, coder.kind).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sequences_can_be_built_from_the_rows(spark):
+    """Whole texts come back from ids alone, those of full pieces and of cut ones too."""
+    rows = [(i, "some words of a text " * n) for i, n in enumerate([1, 40, 300, 900, 5000, 7])] + [(6, None)]
+    coder = pk.Encoder(pk.default_tokenizer())
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in pk.pack(spark.createDataFrame(rows, "doc_id long, text string"), pk.default_tokenizer()).collect():
+        ids = np.frombuffer(r.ids, coder.kind).tolist()
+        assert len(ids) == r.length
+        by_doc[r.doc_id].append((r.start, ids))
+        by_sequence[r.sequence_id].append((r.offset, ids))
+    for doc_id, text in rows:
+        assert [i for _, ids in sorted(by_doc[doc_id]) for i in ids] == [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    assert sum(sum(len(ids) for _, ids in parts) < pk.CAPACITY for parts in by_sequence.values()) <= 1
