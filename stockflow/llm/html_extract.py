@@ -27,7 +27,9 @@ GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(>|\Z)""", re.DOTALL)
 ENDS = {t: re.compile(f"</{t}", re.IGNORECASE) for t in RAW}
-ATTR = re.compile(r"""(class|id|role|data-y|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: A whole attribute: its name, and its value if it has one, in quotes (the last may lack its end) or not.
+ATTR = re.compile(r"""([^\s"'<>/=][^\s"'>/=]*+)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s"'>]++))?+|["'/=<]""")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 STOPS = re.compile(r"[.,;:!?]")
 
@@ -132,11 +134,15 @@ class Page:
 
     def note(self, v: int, attributes: str) -> None:
         found: list[str] = []
+        seen = {""}
         for key, value in ATTR.findall(attributes):
-            key, value = key.lower(), value.strip("\"'")
+            key, value = key.lower(), value[1:].removesuffix(value[0]) if value.startswith(("'", '"')) else value
+            if key in seen:  # of attributes of one name the first counts
+                continue
+            seen.add(key)
             if key == "data-y":
                 self.mark[v] = value == "1"
-            elif key == "hidden" or key == "aria-hidden" and value == "true":
+            elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSEEN.search(value):
                 self.hidden[v] = True
             elif key in ("class", "id", "role"):
                 found += [t.lower() for t in TOKEN.findall(value)]

@@ -81,3 +81,20 @@ def test_boosted_trees_learn_a_rule():
     trees = BoostedTrees().fit(x[:2000], y[:2000])
     assert ((trees.logits(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.95
     assert np.isfinite(BoostedTrees(rounds=3).fit(x[:5] * 0, np.ones(5)).logits(x[:2])).all()
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'data-title="The hidden valley"', 'data-hidden="false"', "aria-hidden='false'", "title='hidden", 'data-id="nav" itemid="menu" data-x=\'class="ad"\''])
+def test_words_within_attributes_hide_nothing(model, attribute):
+    page = he.Page(f"<div {attribute}><p>text</p></div>")
+    assert page.hidden == [False] * 3 and page.tokens[1] == ()
+    rng = random.Random(7)
+    parts = [say(rng, 40) for _ in range(3)]
+    source = f'<html><body><nav class="menu"><a href=/>Home</a></nav><div {attribute}><article class="post-content"><h1>A quiet harbour</h1>{"".join(f"<p>{p}</p>" for p in parts)}</article></div></body></html>'
+    assert all(p in model.texts([source])[0] for p in parts)
+
+
+def test_hidden_nodes():
+    for attribute in ("hidden", "HIDDEN=''", 'class="a" hidden', 'aria-hidden="TRUE"', "aria-hidden=true", 'style="color:red; display : none"', "style=display:none;", 'style="display:none !important"'):
+        assert he.Page(f"<div {attribute}><p>text</p></div>").hidden == [False, True, False]
+    page = he.Page('<div class="post main" title="a > b" id=x7 role=\'main\' data-role="no"><p>text</p></div>')
+    assert page.tokens[1] == ("post", "main", "x", "7", "main") and page.hidden == [False] * 3
