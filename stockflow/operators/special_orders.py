@@ -71,38 +71,76 @@ def open_web_orders(orders: DataFrame) -> DataFrame:
     return orders.where((F.col("fulfillment_status") != SHIPPED) & ~F.col("financial_status").isin(*PAID_BACK) & ~F.coalesce("voided", F.lit(False)))
 
 
+def _key(c: str) -> Column:
+    return F.lower(F.trim(c))
+
+
+def _keyed(orders: DataFrame) -> DataFrame:
+    return orders.withColumns({"k_email": _key("email"), "k_sku": F.trim("sku")}).where("k_sku <> ''")
+
+
 def _candidates(orders: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct orders of each key: their number, the only one of them where it is one, and all."""
-    ids = orders.select(*keys, "order_id").distinct()
-    return ids.groupBy(*keys).agg(F.count("*").alias("n"), F.min("order_id").alias("first"), F.sort_array(F.collect_list("order_id")).alias("ids"))
+    """Distinct orders of each key: their number, and the least of them."""
+    return orders.select(*keys, "order_id").distinct().groupBy(*keys).agg(F.count("*").alias("n"), F.min("order_id").alias("first"))
 
 
-def with_match(rows: DataFrame, orders: DataFrame) -> DataFrame:
-    """rows (customer_email, system_sku) with web_match, web_order_id, web_order_name, eta and candidates.
+def with_keys(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """rows (customer_email, system_sku) with web_match, web_order_id, web_order_name, eta, n_candidates, k_email and k_sku.
 
     Orders of the same email and sku are candidates; without an email, or if there are none, those of the sku. One candidate is a
-    match, several are ambiguous. Each key is one row before it is joined, so no row is paired with single orders.
+    match, several are ambiguous. Each key is one row of a count and a least id before it is joined, so no row is paired with single
+    orders, and no list of orders is made. k_email and k_sku are the key that a row's candidates have: k_email is null where those of
+    the sku are meant, k_sku where there are none.
     """
-    key = lambda c: F.lower(F.trim(c))
-    orders = orders.withColumns({"k_email": key("email"), "k_sku": F.trim("sku")}).where("k_sku <> ''")
-    both = _candidates(orders.where("k_email <> ''"), ["k_email", "k_sku"]).select("k_email", "k_sku", F.col("n").alias("n2"), F.col("first").alias("first2"), F.col("ids").alias("ids2"))
-    alone = _candidates(orders, ["k_sku"]).select("k_sku", F.col("n").alias("n1"), F.col("first").alias("first1"), F.col("ids").alias("ids1"))
-    rows = rows.withColumns({"k_email": key("customer_email"), "k_sku": F.trim("system_sku")})
+    orders = _keyed(orders)
+    both = _candidates(orders.where("k_email <> ''"), ["k_email", "k_sku"]).select("k_email", "k_sku", F.col("n").alias("n2"), F.col("first").alias("first2"))
+    alone = _candidates(orders, ["k_sku"]).select("k_sku", F.col("n").alias("n1"), F.col("first").alias("first1"))
+    rows = rows.withColumns({"k_email": _key("customer_email"), "k_sku": F.trim("system_sku")})
     rows = rows.join(both, ["k_email", "k_sku"], "left").join(alone, "k_sku", "left")
-    rows = rows.withColumns({"n": F.coalesce("n2", "n1", F.lit(0)), "candidates": F.coalesce("ids2", "ids1", F.array().cast("array<bigint>")), "only": F.coalesce("first2", "first1")})
-    rows = rows.withColumns({"web_match": F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "matched").otherwise("ambiguous"), "web_order_id": F.when(F.col("n") == 1, F.col("only"))})
+    rows = rows.withColumns({"n_candidates": F.coalesce("n2", "n1", F.lit(0)), "only": F.coalesce("first2", "first1")})
+    n = F.col("n_candidates")
+    rows = rows.withColumns({"web_match": F.when(n == 0, "none").when(n == 1, "matched").otherwise("ambiguous"), "web_order_id": F.when(n == 1, F.col("only"))})
+    rows = rows.withColumns({"k_email": F.when(F.col("n2").isNotNull(), F.col("k_email")), "k_sku": F.when(n > 0, F.col("k_sku"))})
     facts = orders.groupBy(F.col("order_id").alias("web_order_id")).agg(F.min("order_name").alias("web_order_name"), F.min("eta").alias("eta"))
-    return rows.drop("n", "n1", "n2", "first1", "first2", "ids1", "ids2", "only", "k_email", "k_sku").join(facts, "web_order_id", "left")
+    return rows.drop("n1", "n2", "first1", "first2", "only").join(facts, "web_order_id", "left")
+
+
+def with_match(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """with_keys' rows with the list of their candidates in place of the keys: for a look at a few rows, as a list holds all orders of its key."""
+    rows, orders = with_keys(rows, orders), _keyed(orders)
+    wanted = rows.select("k_email", "k_sku").where("k_sku is not null").distinct()
+    lists = of_keys(orders, wanted).groupBy("k_email", "k_sku").agg(F.sort_array(F.collect_set("order_id")).alias("candidates"))
+    lists = lists.select(F.col("k_email").alias("l_email"), F.col("k_sku").alias("l_sku"), "candidates")
+    rows = rows.join(lists, F.col("k_email").eqNullSafe(F.col("l_email")) & (F.col("k_sku") == F.col("l_sku")), "left")
+    return rows.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<bigint>"))).drop("n_candidates", "k_email", "k_sku", "l_email", "l_sku")
+
+
+def of_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k_email, k_sku, order_id and what else keys has): the orders of each distinct key; an order has two keys at most, its own and that of its sku."""
+    more = [c for c in keys.columns if c not in ("k_email", "k_sku")]
+    both = keyed.join(keys.where("k_email is not null"), ["k_email", "k_sku"]).select("k_email", "k_sku", "order_id", *more)
+    alone = keyed.drop("k_email").join(keys.where("k_email is null").drop("k_email"), "k_sku").select(F.lit(None).cast("string").alias("k_email"), "k_sku", "order_id", *more)
+    return both.unionByName(alone)
+
+
+def consumed(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """order_id of the orders that are candidates of rows (of with_keys)."""
+    return of_keys(_keyed(orders), rows.select("k_email", "k_sku").where("k_sku is not null").distinct()).select("order_id").distinct()
 
 
-def adopted(done: DataFrame, orders: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Of finished rows (special_order_id, candidates, ...) those that hold an order which neither `consumed` (order_id) nor a
-    row that was adopted before it has; by special_order_id.
+def adopted(done: DataFrame, orders: DataFrame | None, consumed: DataFrame) -> DataFrame:
+    """Of finished rows (special_order_id, and the keys of with_keys, or else candidates) those that hold an order which neither
+    `consumed` (order_id) nor a row that was adopted before it has; by special_order_id.
 
     A row is adopted if one of its candidates is still free when its turn comes. A free order goes to the first row that holds it:
-    every row that is first for one of its free orders is adopted, and a row that is first for none finds all of them taken.
+    every row that is first for one of its free orders is adopted, and a row that is first for none finds all of them taken. Rows of
+    a key hold the same orders, so only the first row of each key meets them.
     """
-    pairs = done.select("special_order_id", F.explode("candidates").alias("order_id"))
+    if "k_sku" in done.columns:
+        first_of_key = done.where("k_sku is not null").groupBy("k_email", "k_sku").agg(F.min("special_order_id").alias("special_order_id"))
+        pairs = of_keys(_keyed(orders), first_of_key).select("special_order_id", "order_id")
+    else:
+        pairs = done.select("special_order_id", F.explode("candidates").alias("order_id"))
     free = pairs.join(consumed.select("order_id").distinct(), "order_id", "left_anti")
     first = free.groupBy("order_id").agg(F.min("special_order_id").alias("special_order_id")).select("special_order_id").distinct()
     return done.join(first, "special_order_id", "left_semi")

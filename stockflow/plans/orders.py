@@ -14,7 +14,7 @@ from .views import over
 def flagged(spark: SparkSession, sf_dir: str, done: bool = False) -> DataFrame:
     """Special orders that aren't done (or are), matched to web orders, with stage and flag."""
     own = t.special_orders(spark, sf_dir).where(F.col("done") if done else ~F.col("done"))
-    return so.with_flag(so.with_stage(so.with_match(own, so.open_web_orders(t.shop_orders(spark, sf_dir)))), t.AS_OF)
+    return so.with_flag(so.with_stage(so.with_keys(own, so.open_web_orders(t.shop_orders(spark, sf_dir)))), t.AS_OF)
 
 
 def special_order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,24 +34,21 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flagged(spark, sf_dir)
-    return rows.select("special_order_id", "web_match", "web_order_id", "web_order_name", F.size("candidates").alias("candidates"))
-
-
-def consumed(rows: DataFrame) -> DataFrame:
-    return rows.select(F.explode("candidates").alias("order_id")).distinct()
+    return rows.select("special_order_id", "web_match", "web_order_id", "web_order_name", F.col("n_candidates").alias("candidates"))
 
 
 def adopted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished special orders that take web orders which no open one refers to."""
-    rows = so.adopted(flagged(spark, sf_dir, done=True), so.open_web_orders(t.shop_orders(spark, sf_dir)), consumed(flagged(spark, sf_dir)))
-    return rows.select("special_order_id", "web_match", F.size("candidates").alias("candidates"))
+    orders = so.open_web_orders(t.shop_orders(spark, sf_dir))
+    rows = so.adopted(flagged(spark, sf_dir, done=True), orders, so.consumed(flagged(spark, sf_dir), orders))
+    return rows.select("special_order_id", "web_match", F.col("n_candidates").alias("candidates"))
 
 
 def unmatched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = so.open_web_orders(t.shop_orders(spark, sf_dir))
-    first = flagged(spark, sf_dir)
-    later = so.adopted(flagged(spark, sf_dir, done=True), orders, consumed(first))
-    rows = so.unmatched(orders, consumed(first).unionByName(consumed(later)))
+    first = so.consumed(flagged(spark, sf_dir), orders)
+    later = so.adopted(flagged(spark, sf_dir, done=True), orders, first)
+    rows = so.unmatched(orders, first.unionByName(so.consumed(later, orders)))
     return rows.select("order_id", "order_name", "email", "eta", F.array_join("skus", ",").alias("skus"))
 
 

@@ -100,3 +100,20 @@ def test_grid(spark):
     assert [r.name for r in grid.page(rows, [grid.order_by(rows, "name")], 2, 2).collect()] == ["c", None]
     assert [r.name for r in grid.searched(rows, " RED ", ["name", "tags"]).collect()] == ["b"] and grid.searched(rows, " ", ["name"]).count() == 4
     assert grid.chosen(rows, {"n": [1, 3], "name": None}).count() == 2 and grid.chosen(rows, {"n": []}).count() == 4
+
+
+def test_no_list_of_orders_is_made_for_many_rows(spark):
+    """Keys alone give the consumed and adopted rows that lists of candidates give, however many rows and orders a sku has."""
+    rng = random.Random(9)
+    web = spark.createDataFrame([(i, f"#{i}", rng.choice(["a@x", "b@x", None, " "]), rng.choice(["s", "s", "t", "u", None, ""]), None, None) for i in range(60)], WEB)
+    for _ in range(2):
+        rows = spark.createDataFrame([order(i, email=rng.choice(["A@x", "c@x", None]), sku=rng.choice(["s", " t", "v", None])) for i in range(40)], ORDER)
+        live, done = rows.where("special_order_id % 5 = 0 and trim(system_sku) = 't'"), rows.where("special_order_id % 5 <> 0")
+        keys, lists = so.with_keys(done, web), so.with_match(done, web)
+        assert "collect" not in keys._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.special_order_id: r.n_candidates for r in keys.collect()} == {r.special_order_id: len(r.candidates) for r in lists.collect()}
+        taken = so.consumed(so.with_keys(live, web), web)
+        want = {x for r in so.with_match(live, web).collect() for x in r.candidates}
+        assert sorted(r.order_id for r in taken.collect()) == sorted(want)
+        got = so.adopted(keys, web, taken)
+        assert sorted(r.special_order_id for r in got.collect()) == sorted(r.special_order_id for r in so.adopted(lists, None, taken).collect())
