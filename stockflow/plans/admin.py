@@ -70,11 +70,10 @@ def upsert_brand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def location_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by location, in one array each; a location without rows has an empty one."""
+    """How many rows each location has, and the first sku of them; a location without rows has 0 and none."""
     rows = all_recommendations(spark, sf_dir).select(F.col("shop_id").alias("location_id"), "sku", "qty_to_order")
     locations = spark.createDataFrame([(0,), (1,), (2,), (99,)], "location_id long")
-    out = stores.by_location(rows, locations)
-    return out.select("location_id", F.coalesce(F.size("rows"), F.lit(0)).alias("n"), F.coalesce(F.get("rows", F.lit(0))["sku"], F.lit("")).alias("first_sku"))
+    return stores.location_summary(rows, locations)
 
 
 QUERIES = {f.__name__: f for f in (grid_page, grid_choices, grid_filter, kpi_summary, audit_unpivot, run_summary, latest_runs, upsert_managed, upsert_overrides, upsert_brand_rules, location_sizes)}

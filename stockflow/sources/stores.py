@@ -94,9 +94,19 @@ def checked_rules(rules: DataFrame) -> DataFrame:
 
 
 def by_location(rows: DataFrame, locations: DataFrame) -> DataFrame:
-    """(location_id, rows): an array of structs for each known location, empty where it has none."""
-    found = rows.groupBy("location_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "location_id"]))).alias("rows"))
-    return locations.select("location_id").join(found, "location_id", "left")
+    """The rows of each known location, one by one; a location without any has one row of nulls, and `found` false."""
+    return locations.select("location_id").join(rows.withColumn("found", F.lit(True)), "location_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def location_summary(rows: DataFrame, locations: DataFrame) -> DataFrame:
+    """(location_id, n, first_sku) of each known location: partial counts and minima, so that no task holds a location's rows."""
+    sizes = rows.groupBy("location_id").agg(F.count("*").alias("n"), F.min("sku").alias("first_sku"))
+    return locations.select("location_id").join(sizes, "location_id", "left").fillna({"n": 0, "first_sku": ""})
+
+
+def write_by_location(rows: DataFrame, locations: DataFrame, path: str) -> None:
+    """by_location's rows as Parquet, in a folder for each location. Tasks write what they have; no location goes to one of them."""
+    by_location(rows, locations).write.mode("overwrite").partitionBy("location_id").parquet(path)
 
 
 def newest_versions(log: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -67,3 +67,14 @@ def test_stream(spark, tmp_path):
         logs.appended(logs.changes_by_day(logs.without_repeats(logs.stock_stream(spark, f"{tmp_path}/in"))), out, mark).awaitTermination(120)
     got = {str(r.day): (r.changes, r.empty) for r in spark.read.parquet(out).collect()}
     assert got == {"2020-01-01": (2, 1), "2020-01-02": (1, 1)}
+
+
+def test_locations_are_counted_and_written_without_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "b", 1), (0, "a", 2), (0, "a", 2), (1, "c", 3), (7, "d", 4), (None, "e", 5)], "location_id long, sku string, qty long")
+    locations = spark.createDataFrame([(0,), (1,), (9,)], "location_id long")
+    sizes = stores.location_summary(rows, locations)
+    assert "collect_list" not in sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in sizes.collect()) == [(0, 3, "a"), (1, 1, "c"), (9, 0, "")]
+    stores.write_by_location(rows, locations, f"file://{tmp_path}/by")
+    got = spark.read.parquet(f"file://{tmp_path}/by").collect()
+    assert sorted((r.location_id, r.sku or "", r.qty or 0, r.found) for r in got) == [(0, "a", 2, True), (0, "a", 2, True), (0, "b", 1, True), (1, "c", 3, True), (9, "", 0, False)]
