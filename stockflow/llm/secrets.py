@@ -126,9 +126,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["place"] <= len(BASE))
     return with_spans(docs).select(
         "doc_id",
-        *(F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
+        *(F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in ADDED),
         F.size(F.filter("found", lambda x: x["live"])).cast("long").alias("n_live"),
     )
 
