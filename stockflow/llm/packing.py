@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from . import common
+from . import common, slices
 
 CAPACITY = 1024
 #: Most words in an encoder's cache; it starts anew beyond that.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 LONG_WORD = 64
-#: White space other than the plain space.
-SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+#: Code points below this are letters or not for all that know Unicode; marks that stand apart from the letters before them.
+SIMPLE, MARKS = 0x250, set(",.;:?!")
+#: Bytes of texts whose words are looked up together.
+RUN_BYTES = 1 << 21
+#: White space of two or three bytes, as numbers, and the bytes that begin or end it.
+WIDE = [int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()]
+IN_WIDE = np.isin(np.arange(256), [x for c in WIDE for x in (c & 255, c >> (8 if c < 1 << 16 else 16))])
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -41,11 +44,11 @@ class Encoder:
     """Ids of whole texts by a file of the tokenizers library, as little-endian integers.
 
     A byte-level tokenizer starts a new word at each single space between characters that aren't white
-    space, so that words can be encoded once and kept. Other tokenizers get whole texts.
+    space, so that words can be encoded once and kept: each kind of word of a run of texts is looked up once. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
@@ -56,49 +59,116 @@ class Encoder:
         rules = json.loads(self.tokenizer.to_str())
         step = rules.get("pre_tokenizer") or {}
         self.by_word = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not rules.get("normalizer")
-        self.words: dict[str, bytes] = {}
-        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        if self.by_word:
+            # the signs of bytes, and the model alone, for what needs no further cutting into words
+            signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.signs = {i: signs.pre_tokenize_str(chr(i))[0][0] for i in range(SIMPLE) if i == 32 or not chr(i).isspace()}
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.forget()
+
+    def forget(self) -> None:
+        """No words are known. A word is known by its number: ids of words stand one after the other, and spans has where each word's begin and how many they are."""
+        self.words: dict[bytes, int] = {}
+        self.ids, self.spans, self.n_ids, self.n_words = np.empty(1 << 16, self.kind), np.empty((1 << 14, 2), np.int64), 0, 0
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Adds words of these sizes, whose ids stand one after the other; the numbers of the words."""
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n_words + len(sizes) > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.empty_like(self.spans)])
+        new = range(self.n_words, self.n_words + len(sizes))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.spans[new.start : new.stop, 0] = self.n_ids + np.cumsum(sizes) - sizes
+        self.spans[new.start : new.stop, 1] = sizes
+        self.n_ids += len(ids)
+        self.n_words = new.stop
+        return new
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words of letters after a space, perhaps with a mark at the end, go to the model as they are, other single words after a space through the whole
+        tokenizer: many in one text, cut where an id begins with a space. What is left is encoded one by one."""
+        letters, others = [], []
+        for w in words:
+            text = w.decode()
+            if w[:1] == b" " and b" " not in w[1:] and len(w) <= LONG_WORD:
+                body = text[1:-1] if text[-1] in MARKS else text[1:]
+                (letters if body.isalpha() and max(body) < chr(SIMPLE) else others).append(text)
+        for some, whole in ((letters, False), (others, True)):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                if whole:
+                    ids = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids
+                else:
+                    apart = "\n".join(t[:-1] + "\n" + t[-1] if t[-1] in MARKS else t for t in part)
+                    ids = self.model.encode_batch_fast([apart.translate(self.signs)], add_special_tokens=False)[0].ids
+                ids = np.array(ids, self.kind)
+                edges = np.append(np.flatnonzero(self.starts[ids]), len(ids))
+                if len(edges) != len(part) + 1:
+                    raise ValueError("the tokenizer doesn't begin each word at its space")
+                self.words.update(zip(map(str.encode, part), self.keep(ids, np.diff(edges)), strict=True))
+        for w in words:
+            if w not in self.words:
+                ids = self.plain(w.decode())
+                self.words[w] = self.keep(ids, np.array([len(ids)]))[0]
 
     @staticmethod
-    def odd(text: str) -> bool:
-        """Whether a space stands at an end of the text or beside other white space."""
-        return text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in SPACES)
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word after a space. Words without spaces go through in one text, cut where an id begins with a space."""
-        words = list(words)
-        spaced = [w for w in words if " " in w]
-        found = {w: self.plain(" " + w) for w in spaced}
-        words = [w for w in words if " " not in w]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            edges = np.append(np.flatnonzero(self.starts[ids]), len(ids))
-            if len(edges) != len(part) + 1:
-                raise ValueError("the tokenizer doesn't begin each word at its space")
-            raw, edges = ids.tobytes(), (edges * self.kind.itemsize).tolist()
-            found |= {w: raw[a:b] for w, a, b in zip(part, edges, edges[1:], strict=False)}
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def cuts(run: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where words of a run begin: at the texts' begins, and at each single space with no white space beside it."""
+        white = (run == 32) | (run >= 28) & (run < 32) | (run >= 9) & (run <= 13)
+        single = np.zeros(len(run), bool)
+        single[1:-1] = (run[1:-1] == 32) & ~white[:-2] & ~white[2:]
+        maybe = np.flatnonzero(single)
+        maybe = maybe[IN_WIDE[run[maybe - 1]] | IN_WIDE[run[maybe + 1]]]
+        if len(maybe):  # perhaps beside white space of several bytes
+            near = np.concatenate([np.zeros(3, np.uint8), run, np.zeros(3, np.uint8)])[maybe[:, None] + np.arange(7)].astype(np.int64)
+            three = [near[:, i] << 16 | near[:, i + 1] << 8 | near[:, i + 2] for i in (0, 4)]
+            two = [near[:, i] << 8 | near[:, i + 1] for i in (1, 4)]
+            single[maybe[np.any([np.isin(x, WIDE) for x in (*two, *three)], axis=0)]] = False
+        single[np.append(begins[1:], len(run)) - 1] = False  # a space at the end of a text goes with what stands before it
+        single[begins] = True
+        return np.flatnonzero(single)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self.cut.split(t) if self.odd(t) else t.split(" ") for t in texts]
-        first = [self.plain(p[0]) for p in parts]
-        for p in parts:
-            del p[0]
-        new = self.learn(set(chain.from_iterable(parts)).difference(self.words))
-        if len(self.words) + len(new) > CACHE_WORDS:
-            new = {w: self.words[w] for w in set(chain.from_iterable(parts)).intersection(self.words)} | new
-            self.words = {}
-        self.words |= new
-        out = [a + b"".join(map(self.words.__getitem__, p)) for a, p in zip(first, parts, strict=True)]
-        for w in [w for w in new if len(w) > LONG_WORD]:
-            del self.words[w]
-        return out
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data = [t.encode() for t in texts]
+        out, held, weight = [], [], 0
+        for x in data:
+            if held and weight + len(x) > RUN_BYTES:
+                out += self.ids_of(held)
+                held, weight = [], 0
+            held.append(x)
+            weight += len(x)
+        return out + self.ids_of(held)
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        full = np.array([len(x) for x in texts], np.int64)
+        raw = b"".join(texts)
+        run, begins = np.frombuffer(raw, np.uint8), (np.cumsum(full) - full)[full > 0]
+        if not len(run):
+            return [np.empty(0, self.kind) for _ in texts]
+        starts = self.cuts(run, begins)
+        ends = np.append(starts[1:], len(run))
+        first, kind = slices.alike(run, starts, ends)
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if self.n_words > CACHE_WORDS or self.n_ids > 16 * CACHE_WORDS:
+            self.forget()
+        known = list(map(self.words.get, words))
+        if None in known:
+            self.learn([w for w, k in zip(words, known, strict=True) if k is None])
+            known = list(map(self.words.__getitem__, words))
+        at, size = self.spans[known][kind].T
+        ends_of = np.cumsum(size)
+        ids = self.ids[np.arange(ends_of[-1]) + np.repeat(at - (ends_of - size), size)]
+        stops = np.append(0, ends_of)[np.searchsorted(starts, np.cumsum(full))]
+        for i in np.flatnonzero((ends - starts)[first] > LONG_WORD).tolist():
+            del self.words[words[i]]
+        return np.split(ids, stops[:-1])
 
 
 @lru_cache(2)
@@ -111,12 +181,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.kind).tobytes()
         ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids_of), 64):
-            part = [t or "" for t in texts[at : at + 64].to_pylist()]
-            for doc_id, raw in zip(ids_of[at : at + 64], coder.encode(part), strict=True):
-                ids = np.frombuffer(raw + end, coder.kind)
+        for at in range(0, len(ids_of), 512):
+            part = [t or "" for t in texts[at : at + 512].to_pylist()]
+            for doc_id, ids in zip(ids_of[at : at + 512], coder.encode(part), strict=True):
+                ids = np.append(ids, coder.kind.type(end_id))
                 wide, n = memoryview(ids.astype("<u4").tobytes()), len(ids)
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)

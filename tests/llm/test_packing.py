@@ -95,7 +95,8 @@ def test_odd_rows(spark):
 def test_words_of_an_encoder_are_those_of_whole_texts():
     rng = random.Random(8)
     coder = pk.Encoder(pk.default_tokenizer())
-    texts = ["".join(rng.choice(["a", "b ", " c", "  ", "\n", "é", "'s", "12", "."]) for _ in range(60)) for _ in range(200)]
+    some = ["a", "b ", " c", "  ", " ", " ", "\n", "é", "'s", "12", ".", " the,", "y..", "Été", "ñandú! ", "\u0250", "ª", "x" * 70, "\u3000", "\x85", "\xa0", "\x1c", "€", "<|endoftext|>", " 日本", "—"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", " ", "a "]
     for text, raw in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(raw, coder.kind).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
