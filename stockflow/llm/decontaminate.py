@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import common
 
-#: Edits allowed for a character of an item; the shortest item looked for; characters of items in one pass over the documents.
+#: Edits allowed for a character of an item; characters of the shortest item that may have any; characters of items in one pass over the documents, about.
 RATE, SHORTEST, BLOCK_CHARS = 0.08, 20, 4_000_000
 LEAK = T.StructType(
     [
@@ -30,7 +32,8 @@ def plain(text: str | None) -> str:
 
 
 def budget_of(item: str, rate: float) -> int:
-    return int(len(item) * rate)
+    """Edits allowed; none in an item under SHORTEST characters."""
+    return int(len(item) * rate) if len(item) >= SHORTEST else 0
 
 
 def pieces(item: str, budget: int) -> list[tuple[str, int]]:
@@ -39,6 +42,11 @@ def pieces(item: str, budget: int) -> list[tuple[str, int]]:
     return [(item[a:b], a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on before start or after end."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class Pattern:
     """An item for Myers' algorithm: a bit for each of its characters."""
 
@@ -91,9 +99,13 @@ class Finder:
         starts: dict[int, list[int]] = defaultdict(list)
         for last, (size, found) in self.automaton.iter(text):
             for i, at in found:
-                starts[i].append(last + 1 - size - at)
+                if self.items[i][1].size >= SHORTEST or whole_words(text, last + 1 - size, last + 1):
+                    starts[i].append(last + 1 - size - at)
         for i, found in starts.items():
             item_id, pattern, budget = self.items[i]
+            if pattern.size < SHORTEST:
+                yield item_id, 0, 0, found[0] + pattern.size
+                continue
             best, end = budget + 1, 0
             for low, high in self.windows(sorted(set(found)), budget, pattern.size, len(text)):
                 distance, at = pattern.nearest(text[low:high], best - 1)
@@ -119,44 +131,57 @@ class Finder:
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, a block at a time."""
-    block, weight = [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
-        if len(text := plain(row["text"])) >= SHORTEST:
-            block.append((row["item_id"], text))
-            weight += len(text)
-            if weight >= block_chars:
-                yield block
-                block, weight = [], 0
-    if block:
-        yield block
+    """The items that have a character, in blocks of about block_chars characters, dealt by hash: the driver holds a block at a time."""
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
+    rows = lambda batch: ((i, text) for i, text in zip(batch.column(0).to_pylist(), map(plain, batch.column(1).to_pylist()), strict=True) if text)
+    items = common.written(common.map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), schema, rows, lambda r: 50 + 4 * len(r[1])), "benchmark-items")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = -(-chars // block_chars)
+    for block in range(n):
+        yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).toLocalIterator())
+
+
+FINDERS: dict[str, Finder] = {}
+
+
+def finder(name: str, block: Broadcast, rate: float) -> Finder:
+    """A block's automaton, made once in each worker and kept until the next block comes."""
+    if name not in FINDERS:
+        FINDERS.clear()
+        FINDERS[name] = Finder(block.value, rate)
+    return FINDERS[name]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """LEAK for each document (doc_id, text) and item (item_id, text) of which it holds a stretch within the item's edit budget.
 
-    Letters are lowered and white space is one space, in both; the budget is rate times the item's length. Each document is read
-    once for a block of items of bounded size, whole, whatever its length; no document meets another. Null and empty texts have
-    no leak; items under SHORTEST characters say too little and are left out. Rows of an item_id that recurs count each.
+    Letters are lowered and white space is one space, in both; the budget is rate times the item's length. Items under SHORTEST characters are found
+    as they are, as whole words, without edits; those without a character aren't looked for. Each document is read once for a block of items of
+    bounded size, whole, whatever its length; no document meets another. Null and empty texts have no leak. Rows of an item_id that recur count each.
     """
     found = []
     for block in item_blocks(benchmark, block_chars):
+        given = docs.sparkSession.sparkContext.broadcast(block)
 
-        def rows(batch: pa.RecordBatch, block=block, made=[]) -> Iterator[tuple]:  # noqa: B006  made once in each task
-            if not made:
-                made.append(Finder(block, rate))
+        def rows(batch: pa.RecordBatch, name=uuid.uuid4().hex, given=given) -> Iterator[tuple]:
+            own = finder(name, given, rate)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for leak in made[0].leaks(plain(text.as_py())):
+                for leak in own.leaks(plain(text.as_py())):
                     yield doc_id, *leak
 
         found.append(common.written(common.map_rows(docs.select("doc_id", "text"), LEAK, rows, lambda r: 60), "leaks"))
+        given.unpersist()
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], LEAK)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """Rows (doc_id, text, and any others) but those of documents with a leak; rows of one doc_id stay or go together."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = SHORTEST) -> DataFrame:
+    """Rows (doc_id, text, and any others) but those of documents with a leak; rows of one doc_id stay or go together.
+
+    Items under `least` characters, single words and figures, stand in clean documents too, so that they take none away; leaks() reports them.
+    """
     gone = common.fresh("gone", docs.columns)
-    rejected = leaks(docs, benchmark, rate).select(F.col("doc_id").alias(gone)).distinct()
+    told = benchmark.where(F.length("text") >= least)
+    rejected = leaks(docs, told, rate).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[gone]), "left_anti")
 
 
