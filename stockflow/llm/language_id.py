@@ -46,11 +46,16 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """At most n documents (doc_id, text, lang) of each language, chosen by hash before any text moves."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "lang")
-    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).select("doc_id")
-    return docs.select("doc_id", "text", "lang").join(chosen.distinct(), "doc_id", "left_semi").where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    """At most n rows (doc_id, text, lang) of each language, those of the least hashes.
+
+    How many rows a language has tells below which hash about four times n of them lie: a filter, so that no task ranks a language's rows.
+    """
+    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "of_lang")
+    share = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
+    few = labelled.withColumn("share", share).join(sizes, F.col("lang") == F.col("of_lang")).where(F.col("share") * F.col("rows") <= 4 * n)
+    order = Window.partitionBy("lang").orderBy("share", "doc_id")
+    return few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).select("doc_id", "text", "lang")
 
 
 class Likelihoods:
@@ -107,7 +112,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str | None = None) -> DataFrame:
-    """rows (id, text, declared, host, and any others but text, which goes) with lang, confidence and text_lang.
+    """rows (text, declared, host, and any others; text goes) with language, confidence and text_language, whose names get an underscore where rows have them.
 
     By Bayes: the posterior of a language is its prior on the host, times the likelihoods of text, declared
     language and address suffix. The text alone gives each row a first language; how often languages meet declared ones
@@ -118,7 +123,11 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     `top`: a column to use in place of the suffix. `markup`: text is HTML, and its tags, scripts and styles don't count.
     """
     n, names = len(model.languages), model.languages
-    kept = [c for c in rows.columns if c != "text"]
+    given_names = [c for c in rows.columns if c != "text"]
+    kept = [f"kept_{i}" for i in range(len(given_names))]  # none of the names below
+    own_name = dict(zip(given_names, kept, strict=True))
+    rows = rows.select(*(F.col(f"`{c}`").alias(k) for c, k in own_name.items()), "text")
+    declared_as, host_as = own_name["declared"], own_name["host"]
     schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(f"ll_{i}", T.DoubleType()) for i in range(n))])
 
     def score(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -133,8 +142,8 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     best = F.greatest(*(F.col(f"ll_{i}") for i in range(n)))
     none = reduce(lambda a, b: a & b, (F.col(f"ll_{i}") == 0 for i in range(n)))
     first = F.when(none, F.lit(None)).otherwise(F.coalesce(*(F.when(F.col(f"ll_{i}") == best, F.lit(i)) for i in range(n))))
-    suffix = F.col(top) if top else suffix_of(F.col("host"))
-    found = found.withColumns({"first": first, "own_domain": domain_of(F.col("host")), "own_suffix": suffix})
+    suffix = F.col(own_name[top]) if top else suffix_of(F.col(host_as))
+    found = found.withColumns({"first": first, "host": F.col(host_as), "declared": F.col(declared_as), "own_domain": domain_of(F.col(host_as)), "own_suffix": suffix})
     found = common.written(found, "language-evidence")
     counts = lambda prefix: [F.count_if(F.col("first") == i).alias(f"{prefix}_{i}") for i in range(n)]
     total = found.agg(*counts("n")).first()
@@ -179,21 +188,29 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     mass = reduce(lambda a, b: a + b, (F.exp(F.col(f"e_{i}") - F.col("best")) for i in range(n)))
     choice = F.coalesce(*(F.when(F.col(f"e_{i}") == F.col("best"), F.lit(names[i])) for i in range(n)))
     text_lang = F.coalesce(*(F.when(F.col("first") == i, F.lit(names[i])) for i in range(n)))
-    return fused.withColumn("best", top_of).select(*kept, choice.alias("language"), F.round(1 / mass, 6).alias("confidence"), text_lang.alias("text_language"))
+    new = {x: common.fresh(x, given_names) for x in ("language", "confidence", "text_language")}
+    out = fused.withColumn("best", top_of).select(*kept, choice.alias("new_language"), F.round(1 / mass, 6).alias("new_confidence"), text_lang.alias("new_text_language"))
+    return out.select(*(F.col(k).alias(c) for c, k in own_name.items()), *(F.col(f"new_{x}").alias(name) for x, name in new.items()))
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, lang, source, and any others) but those whose text is in no language that labels name.
+    """Rows (doc_id, text, lang, source, and any others) but those whose text is in no language that labels name; lang is the language found.
 
-    lang is the declared language and source the host. A text without a letter says nothing against its row: the other evidence
-    decides. An empty table, and one without labels, stays as it is.
+    lang is the declared language and source the host. A text without a letter says nothing against its row, which keeps its lang, or its want of one. Rows
+    of one doc_id and text go together. An empty table, and one without labels, stays as it is.
     """
     model = fitted(docs)
     if len(model.languages) == 1:
         return docs
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", F.lower("lang").alias("declared"), F.lower("source").alias("host"))
     found = identify(rows, model)
-    return common.without(docs, found.where((F.col("language") == OTHER) & (F.col("text_language") == OTHER)).select("doc_id", "h"))
+    gone = (F.col("language") == OTHER) & (F.col("text_language") == OTHER)
+    other = F.col("text_language").isNotNull() & (F.col("language") != OTHER) & ~F.col("language").eqNullSafe(F.col("declared"))
+    verdicts = found.where(gone | other).groupBy("doc_id", "h").agg(F.max(gone).alias("gone"), F.min(F.when(other, F.col("language"))).alias("language"))
+    doc, h, out, lang = (common.fresh(x, docs.columns) for x in ("found_doc", "found_text", "found_gone", "found_lang"))
+    verdicts = common.written(verdicts.select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("gone").alias(out), F.col("language").alias(lang)), "verdicts")
+    both = docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts[doc]) & (F.xxhash64(docs["text"]) == verdicts[h]), "left").where(~F.coalesce(out, F.lit(False)))
+    return both.select(*(F.coalesce(lang, "lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stockflow.llm import language_id as li
@@ -27,6 +29,61 @@ def test_evidence(spark, sf):
     assert li.identify(table.where("false"), model).count() == 0
 
 
+def test_posterior_by_hand(spark):
+    """Four texts of two languages on two hosts: counts, smoothed priors and rates as in the docstring."""
+    texts = {"aa": "aaa aaa aaaa", "bb": "bbb bbb bbbb"}
+    model = li.fitted(spark.createDataFrame([(i, texts[x], x) for i, x in enumerate(["aa", "bb"] * 3)], "doc_id long, text string, lang string"))
+    rows = [(0, texts["aa"], "aa", "x.one.de"), (1, texts["aa"], None, "x.one.de"), (2, texts["bb"], "bb", "y.two.fr"), (3, texts["bb"], "aa", "x.one.de"), (4, None, "bb", "x.one.de"), (5, "aaa", None, "z.one.de"), (6, "bbb aaa", "bb", None)]
+    got = {r.id: r for r in li.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string"), model).collect()}
+    names, n = model.languages, len(model.languages)
+    ll = {i: np.array(model.of(t or "")) for i, t, *_ in rows}
+    first = {i: None if (x == 0).all() else int(x.argmax()) for i, x in ll.items()}
+    count = lambda keep: np.array([sum(first[r[0]] == k for r in rows if keep(r)) for k in range(n)], float)
+    total, domain, suffix = count(lambda r: True), lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1]
+    prior = lambda own, parent: (own + li.PARENT * parent) / (own.sum() + li.PARENT)
+    overall = (total + 1) / (total.sum() + n)
+    for i, _, declared, host in rows:
+        e = ll[i].copy()
+        if host is None:
+            e += np.log(overall)
+        else:
+            by_suffix = prior(count(lambda r: r[3] and suffix(r[3]) == suffix(host)), overall)
+            by_domain = prior(count(lambda r: r[3] and domain(r[3]) == domain(host)), by_suffix)
+            own = count(lambda r: r[3] == host) - np.array([first[i] == k for k in range(n)], float)
+            e += np.log(prior(own, by_domain))
+        for key, at in ((declared, lambda r: r[2]), (host and suffix(host), lambda r: r[3] and suffix(r[3]))):
+            if key is not None:
+                same = [r for r in rows if at(r) == key]
+                e += np.log((count(lambda r: r in same) + li.PARENT * len(same) / len(rows)) / (total + li.PARENT))
+        p = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert got[i].language == names[int(e.argmax())] and got[i].confidence == pytest.approx(p.max(), abs=2e-6)
+        assert got[i].text_language == (None if first[i] is None else names[first[i]])
+
+
+def test_clashing_names_and_empty_tables(spark, sf):
+    model = li.fitted(spark.read.parquet(f"{sf}/documents.parquet"))
+    names = "first best of_host own_domain own_suffix ll_0 e_0 h_0 language confidence kept_1 declared host new_language".split()
+    table = spark.createDataFrame([(i, "der die und in der", *[f"{n}-{i}" for n in names]) for i in range(3)], ", ".join(["id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = li.identify(table, model)
+    assert got.columns == ["id", *names, "language_", "confidence_", "text_language"]
+    assert all(r[n] == f"{n}-{r.id}" for r in got.collect() for n in names)
+    assert li.identify(table.where("false"), model).count() == 0 and li.labelled_sample(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_sample_of_a_language_is_bounded(spark):
+    rows = [(i, f"t{i}", "en") for i in range(4000)] + [(i, f"u{i}", "de") for i in range(30)] + [(7, "t7", "en")] * 5
+    got = [r.lang for r in li.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50).collect()]
+    assert got.count("en") == 50 and got.count("de") == 30
+
+
+def test_language_found_is_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.lit(None)).otherwise(F.col("lang")))
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = [r for r in li.in_known_language(wrong).collect() if r.doc_id % 10 == 0 and r.lang]
+    assert got and sum(truth[r.doc_id] == r.lang for r in got) >= 0.95 * len(got)
+
+
 def test_rejection_keeps_clean_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rng = random.Random(3)
