@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import common
 from .boosting import BoostedTrees
 
-# Fixed values of HTML: elements without end tags, with raw text, within lines, never shown.
+# Fixed values of HTML: elements without end tags, with raw text, within lines, with raw text that leaves no gap in a line, never shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes noscript".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+UNRENDERED = set("script style noscript".split())
 HIDDEN = set("head template select button svg math object audio video canvas datalist dialog".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -31,6 +32,8 @@ ENDS = {t: re.compile(f"</{t}", re.IGNORECASE) for t in RAW}
 ATTR = re.compile(r"""([^\s"'<>/=][^\s"'>/=]*+)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s"'>]++))?+|["'/=<]""")
 UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: What the attributes of an element within a line have to hold to be looked at, and the tokens that make it an advert.
+TELLING, ADVERT = re.compile("hidden|none|class|id", re.IGNORECASE), set("ad ads advert advertisement adsense sponsored sponsor promo promotion".split())
 STOPS = re.compile(r"[.,;:!?]")
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -45,11 +48,12 @@ class Page:
         self.parent, self.tag, self.tokens, self.hidden, self.mark = [-1], ["html"], [()], [False], [None]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters of it in links
         stack, pieces, at, linked, link = [0], [], 0, 0, False
+        muted, depth, within = "", 0, 0  # an element within a line whose text isn't shown, how many of its name are open in it, and how many nodes when it began
         opened: dict[str, int] = defaultdict(int)  # how many elements of a name are open
 
         def text(piece: str) -> None:
             nonlocal linked
-            if piece:
+            if piece and not muted:
                 piece = entities.unescape(piece) if "&" in piece else piece
                 pieces.append(piece)
                 linked += len(piece) * link
@@ -69,6 +73,13 @@ class Page:
                 continue
             name = name.lower()
             if name in INLINE:
+                if name == muted:
+                    depth += -1 if m[1] else 1
+                    muted = muted if depth else ""
+                elif not muted and not m[1] and m[3] and TELLING.search(m[3]):
+                    _, hidden, tokens = attributes(m[3])
+                    if hidden or not ADVERT.isdisjoint(tokens):
+                        muted, depth, within = name, 1, len(stack)
                 link = (not m[1]) if name == "a" else link
                 continue
             if name == "br":
@@ -83,9 +94,12 @@ class Page:
                     while seen != name:
                         seen = self.tag[stack.pop()]
                         opened[seen] -= 1
+                    if len(stack) < within:
+                        muted, within = "", 0
                 continue
-            flush()
-            link = False
+            if name not in UNRENDERED:
+                flush()
+                link = False
             if name in RAW:
                 end = ENDS[name].search(source, at)
                 at = end.start() if end else len(source)
@@ -100,6 +114,8 @@ class Page:
                 continue
             for v in self.implied(stack, name):
                 opened[self.tag[v]] -= 1
+            if len(stack) < within:
+                muted, within = "", 0
             self.parent.append(stack[-1])
             self.tag.append(name)
             self.tokens.append(())
@@ -132,21 +148,27 @@ class Page:
         del stack[cut:]
         return gone
 
-    def note(self, v: int, attributes: str) -> None:
-        found: list[str] = []
-        seen = {""}
-        for key, value in ATTR.findall(attributes):
-            key, value = key.lower(), value[1:].removesuffix(value[0]) if value.startswith(("'", '"')) else value
-            if key in seen:  # of attributes of one name the first counts
-                continue
-            seen.add(key)
-            if key == "data-y":
-                self.mark[v] = value == "1"
-            elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSEEN.search(value):
-                self.hidden[v] = True
-            elif key in ("class", "id", "role"):
-                found += [t.lower() for t in TOKEN.findall(value)]
-        self.tokens[v] = tuple(found)
+    def note(self, v: int, source: str) -> None:
+        mark, hidden, self.tokens[v] = attributes(source)
+        self.mark[v] = self.mark[v] if mark is None else mark
+        self.hidden[v] |= hidden
+
+
+def attributes(source: str) -> tuple[bool | None, bool, tuple[str, ...]]:
+    """The mark of a made-up page, whether the element is hidden, and the tokens of class, id and role."""
+    mark, hidden, found, seen = None, False, [], {""}
+    for key, value in ATTR.findall(source):
+        key, value = key.lower(), value[1:].removesuffix(value[0]) if value.startswith(("'", '"')) else value
+        if key in seen:  # of attributes of one name the first counts
+            continue
+        seen.add(key)
+        if key == "data-y":
+            mark = value == "1"
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSEEN.search(value):
+            hidden = True
+        elif key in ("class", "id", "role"):
+            found += [t.lower() for t in TOKEN.findall(value)]
+    return mark, hidden, tuple(found)
 
 
 FEATURES = 12 + 2 * 4 + len(GROUPS) * 2 + 6
@@ -362,7 +384,10 @@ def sampled(pages: DataFrame, n: int = SAMPLE) -> list[str]:
 
 
 def extract(pages: DataFrame, model: Extractor) -> DataFrame:
-    """PAGE of each row (page_id, url, html): the main text, empty if there is none or html is null. Works page by page, over whole pages."""
+    """PAGE of each row (page_id, url, html): the main text, empty if there is none or html is null. Works page by page, over whole pages.
+
+    Repeated rows give a row each, with equal texts; an empty table gives none. Of gains that are 0 in a node, the node goes.
+    """
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 64):

@@ -98,3 +98,45 @@ def test_hidden_nodes():
         assert he.Page(f"<div {attribute}><p>text</p></div>").hidden == [False, True, False]
     page = he.Page('<div class="post main" title="a > b" id=x7 role=\'main\' data-role="no"><p>text</p></div>')
     assert page.tokens[1] == ("post", "main", "x", "7", "main") and page.hidden == [False] * 3
+
+
+def test_lines_go_on_through_what_is_not_shown():
+    runs = lambda s: [r[1] for r in he.Page(s).runs]
+    assert runs("<p>sub<script>x()</script>way <style>p{}</style>line</p>") == ["subway line"]
+    assert runs("<p>a <span hidden>no <span>no</span> no</span>b <b style='display: none'>no</b>c</p>") == ["a b c"]
+    assert runs('<p>a <span class="ad-slot">buy</span>b <a class="address" id=x>c</a> <i class="overflow-hidden">d</i></p>') == ["a b c d"]
+    assert runs("<div><p>a <span hidden>never closed</p><p>b</p></div><p>c") == ["a", "b", "c"]
+    assert runs("<p>a <span hidden>no<p>b") == ["a", "b"]
+
+
+HAND_MADE = [
+    (
+        """<html lang=en><head><title>Bread</title></head><body><div id="top"><a href="/">Home</a> <a href="/r">Recipes</a> <a href="/s">Shop</a></div>
+<div class="page"><div class="post"><h1>Bread at home</h1><p>Mix flour, water and salt in a large bowl, and let the dough stand for an hour before it is kneaded.</p>
+<p>Bake it for forty minutes in a hot oven. It is done when it sounds hollow; leave it to cool on a rack, as it cuts badly while it is hot.</p></div>
+<div class="sidebar"><h3>Popular</h3><ul><li><a href="/1">Cake</a></li><li><a href="/2">Soup</a></li></ul></div></div><div class="footer">&copy; 2019 Kitchen</div></body></html>""",
+        ["Mix flour, water and salt in a large bowl, and let the dough stand for an hour before it is kneaded.", "Bake it for forty minutes in a hot oven. It is done when it sounds hollow; leave it to cool on a rack, as it cuts badly while it is hot."],
+        ["Recipes", "Popular", "Soup", "2019"],
+    ),
+    (
+        """<body><header><h2>The Daily</h2><nav><a href=/a>World</a><a href=/b>Sport</a></nav></header><main><article><h1>Ferry late again</h1>
+<p>The ferry to the island left two hours late on Monday, the third time in a week, and passengers waited in the rain without being told why.</p>
+<aside class="ad">Cheap flights! <a href=/x>Book now</a></aside><p>A spokesman said that a pump had failed, and that a spare one would come from the mainland &amp; be fitted by the end of the week.</p></article>
+<section class="comments"><h3>Comments</h3><p>Typical, they never tell anybody.</p></section></main><footer><p>Contact us. Privacy.</p></footer></body>""",
+        ["The ferry to the island left two hours late on Monday, the third time in a week, and passengers waited in the rain without being told why.", "A spokesman said that a pump had failed, and that a spare one would come from the mainland & be fitted by the end of the week."],
+        ["World", "Book now", "Typical", "Privacy"],
+    ),
+    (
+        """<div class="cookie-banner">We use cookies. <button>Accept</button></div><div class="content"><p>Owls hear better than they see, and turn their heads to find where a mouse rustles in the leaves.</p><p style="overflow:hidden">Their feathers make
+no sound in flight, so that the mouse hears nothing until it is too late to run.</p></div><form class="newsletter"><label>Mail</label><input name=q><p>Subscribe to our letter.</p></form>""",
+        ["Owls hear better than they see, and turn their heads to find where a mouse rustles in the leaves.", "Their feathers make no sound in flight, so that the mouse hears nothing until it is too late to run."],
+        ["cookies", "Accept", "Subscribe"],
+    ),
+]
+
+
+@pytest.mark.parametrize("source,kept,gone", HAND_MADE)
+def test_pages_written_by_hand(model, source, kept, gone):
+    (text,) = model.texts([source])
+    assert all(x in text for x in kept), text
+    assert not any(x in text for x in gone), text
