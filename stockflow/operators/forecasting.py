@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,10 +18,11 @@ def neutral(n: int = MONTHS) -> Column:
     return F.array_repeat(F.lit(1.0), n)
 
 
-def mean_one(indices: Column, n: int = MONTHS) -> Column:
-    """indices over their mean; all 1 if that isn't above 0."""
-    mean = F.aggregate(indices, F.lit(0.0), lambda s, x: s + x) / n
-    return F.when(mean > 0, F.transform(indices, lambda x: x / F.when(mean > 0, mean))).otherwise(neutral(n))
+def mean_one(rows: DataFrame, column: str, n: int = MONTHS) -> DataFrame:
+    """rows with the indices of a column over their mean; all 1 if that isn't above 0. The mean is a column of its own, so that it is computed once."""
+    rows = rows.withColumn("mean_of_all", F.aggregate(column, F.lit(0.0), lambda s, x: s + x) / n)
+    mean = F.col("mean_of_all")
+    return rows.withColumn(column, F.when(mean > 0, F.transform(column, lambda x: x / F.when(mean > 0, mean))).when(F.col(column).isNotNull(), neutral(n))).drop("mean_of_all")
 
 
 def seasonal_indices(history: DataFrame, keys: list[str], period: str = "month", units: str = "units", n: int = MONTHS, min_total: float = 0.0, smoothing: float = 0.0) -> DataFrame:
@@ -37,7 +39,8 @@ def seasonal_indices(history: DataFrame, keys: list[str], period: str = "month",
     enough = (F.col("total_units") > min_total) & (F.col("total_units") > 0)
     share = F.when(enough, F.col("total_units") / n)
     raw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda p: (F.coalesce(F.try_element_at("by_period", p) / share, F.lit(1.0)) + smoothing) / (1 + smoothing))
-    return sums.withColumn("indices", F.when(enough, mean_one(raw, n)).otherwise(neutral(n))).drop("by_period")
+    rows = mean_one(sums.withColumn("indices", raw), "indices", n)
+    return rows.withColumn("indices", F.when(enough, F.col("indices")).otherwise(neutral(n))).drop("by_period")
 
 
 def by_month(profiles: DataFrame, value: str = "seasonal_index") -> DataFrame:
@@ -72,13 +75,25 @@ def with_profile(rows: DataFrame, profiles: DataFrame, levels: list[str]) -> Dat
     return rows.withColumns({"profile": F.coalesce(*(F.col(f"profile_{i}") for i in n)), "profile_level": name}).drop(*(f"profile_{i}" for i in n))
 
 
-def blended(own: Column, category: Column, months: Column, full: float = 24.0) -> Column:
-    """Own indices by the share of `full` months that were seen, the category's for the rest. Of one alone that one; of none 1."""
+def blended(rows: DataFrame, own: str, category: str, months: str, full: float = 24.0) -> DataFrame:
+    """rows with indices: own ones by the share of `full` months that were seen, the category's for the rest. Of one alone that one; of none 1."""
     if full <= 0:
         raise ValueError("full is above 0")
-    w = clamp(months / F.lit(full), 0.0, 1.0)
-    both = mean_one(F.zip_with(own, category, lambda a, b: w * a + (1 - w) * b))
-    return F.when(own.isNull(), F.coalesce(category, neutral())).when(category.isNull(), own).otherwise(both)
+    w = clamp(F.col(months) / F.lit(full), 0.0, 1.0)
+    rows = mean_one(rows.withColumn("both", F.zip_with(own, category, lambda a, b: w * a + (1 - w) * b)), "both")
+    one = F.when(F.col(own).isNull(), F.coalesce(category, neutral())).when(F.col(category).isNull(), F.col(own))
+    return rows.withColumn("indices", one.otherwise(F.col("both"))).drop("both")
+
+
+def on_spine(history: DataFrame, keys: list[str], first: date, last: date, units: str = "units") -> DataFrame:
+    """(keys, at, units) of every month from each key's first one with a row, or `first` if that is later, to `last`: 0 where a month has none.
+
+    at counts months: year * 12 + month. Units of months are summed before months are filled in.
+    """
+    count = lambda d: d.year * 12 + d.month
+    sums = history.withColumn("at", F.col("year") * 12 + F.col("month")).where(F.col("at").between(count(first), count(last))).groupBy(*keys, "at").agg(F.sum(units).cast("double").alias("own_units"))
+    spans = sums.groupBy(*keys).agg(F.min("at").alias("from_at")).withColumn("at", F.explode(F.sequence(F.col("from_at"), F.lit(count(last))))).drop("from_at")
+    return spans.join(sums, [*keys, "at"], "left").select(*keys, "at", F.coalesce("own_units", F.lit(0.0)).alias(units))
 
 
 def demand_array(history: DataFrame, keys: list[str], order: str, units: str = "units") -> DataFrame:

@@ -32,6 +32,8 @@ class Settings:
         given = [w for w in self.weights if w is not None]
         if given and (len(given) < 3 or not all(0 <= w <= 1 for w in given) or abs(sum(given) - 1) > 0.001):
             raise ValueError("give three weights, each from 0 to 1, that sum to 1")
+        if self.mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}")
         if self.safety_days < 0 or (self.forecast_days or 60) <= 0 or self.growth <= 0:
             raise ValueError("safety days may not be below 0; forecast days and growth are above 0")
 
@@ -179,13 +181,19 @@ def location_name(shop: Column) -> Column:
     return F.coalesce(F.try_element_at(names, shop.cast("int")), F.concat(F.lit("Shop "), shop.cast("string")))
 
 
-def recommend(metrics: DataFrame, settings: Settings = Settings(), trend: Column | None = None, season: Column | None = None) -> DataFrame:
-    """A recommendation for each row of metrics (item_id, shop_id, units_N, days_out_of_stock_N, sale_days_N, on_hand, on_order,
-    current levels, lead_time_days). Rows without an item id go. Every step is a column, so one plan reads and ends in all of it.
+def velocities(metrics: DataFrame, settings: Settings = Settings(), trend: Column | None = None, season: Column | None = None) -> DataFrame:
+    """metrics (item_id, shop_id, units_N, days_out_of_stock_N, sale_days_N, on_hand, on_order, current levels, lead_time_days) with daily sales and
+    momentum. Rows without an item id go.
     """
     rows = metrics.where(F.coalesce("item_id", F.lit(0)) != 0)
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("on_hand", "on_order")})
-    rows = with_momentum(with_velocity(rows, settings, trend, season))
+    return with_momentum(with_velocity(rows, settings, trend, season))
+
+
+def planned(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Recommendations from rows of velocities: levels, status and what follows. What these rows are computed from is best a table by then:
+    each step names several columns of the one before it, so that one plan of all steps is longer than what Java compiles.
+    """
     v = F.col("base_velocity")
     rows = rows.withColumn("safety_stock", ceil_units(v * settings.safety_days))
     rows = rows.withColumns({"reorder_point": ceil_units(v * F.col("lead_time_days") + F.col("safety_stock")), "desired_level": ceil_units(v * (settings.forecast_days or 60.0))})
@@ -194,6 +202,11 @@ def recommend(metrics: DataFrame, settings: Settings = Settings(), trend: Column
     return with_status(rows)
 
 
+def recommend(metrics: DataFrame, settings: Settings = Settings(), trend: Column | None = None, season: Column | None = None) -> DataFrame:
+    """A recommendation for each row of metrics, in one plan."""
+    return planned(velocities(metrics, settings, trend, season), settings)
+
+
 def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Puts manual levels (sku, location_id) in the place of recommended ones, and works out again what follows. A null level overrides nothing."""
     manual = overrides.select(F.col("sku").alias("o_sku"), F.col("location_id").alias("o_shop"), "manual_reorder_point", "manual_desired_level", F.col("locked").alias("o_locked"))

@@ -80,8 +80,8 @@ def blended_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = months.groupBy("item_id").agg(F.count_distinct(F.struct("year", "month")).alias("months"))
     category = fc.seasonal_indices(top_history(spark, sf_dir), ["category"]).select(F.col("category").alias("category_top_level"), F.col("indices").alias("of_category"))
     rows = own.join(seen, "item_id").join(category, "category_top_level", "left")
-    rows = rows.select("item_id", "months", fc.blended(F.col("indices"), F.col("of_category"), F.col("months")).alias("indices"))
-    return rounded(fc.by_month(rows))
+    rows = fc.blended(rows.withColumnRenamed("indices", "own"), "own", "of_category", "months")
+    return rounded(fc.by_month(rows.select("item_id", "months", "indices")))
 
 
 def trends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -133,8 +133,8 @@ def first_stockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slow_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Croston's and the TSB estimate of each item's units per month sold in."""
-    months = item_months(spark, sf_dir).withColumn("at", F.col("year") * 12 + F.col("month"))
+    """Croston's and the TSB estimate of each item's units a month, from its first month with a sale to the last complete one, months without sales too."""
+    months = fc.on_spine(item_months(spark, sf_dir), ["item_id"], FLOOR, date(t.AS_OF.year, LAST_MONTH, 1))
     rows = fc.demand_array(months, ["item_id"], "at")
     return rounded(rows.select("item_id", fc.croston(F.col("demand")).alias("croston"), fc.tsb(F.col("demand")).alias("tsb")))
 
@@ -241,7 +241,8 @@ ORACLES = {
     list_reduce(list_transform(d, lambda v: {'size': v, 'chance': 0.0::DOUBLE}), lambda s, x: {
       'size': CASE WHEN x.size > 0 THEN s.size + 0.1::DOUBLE * (x.size - s.size) ELSE s.size END, 'chance': s.chance + 0.1::DOUBLE * (CASE WHEN x.size > 0 THEN 1 ELSE 0 END - s.chance)},
       {'size': coalesce(list_filter(d, lambda v: v > 0)[1], 0)::DOUBLE, 'chance': len(list_filter(d, lambda v: v > 0)) / len(d)::DOUBLE}) AS b
-  FROM (SELECT item_id, list(units::DOUBLE ORDER BY year, month) AS d FROM own_months GROUP BY 1))""",
+  FROM (SELECT item_id, list(coalesce(units, 0)::DOUBLE ORDER BY m) AS d FROM
+      (SELECT item_id, unnest(range(min(year * 12 + month), 2001 * 12 + 8)) AS m FROM own_months GROUP BY 1) LEFT JOIN (SELECT item_id, year * 12 + month AS m, units FROM own_months) USING (item_id, m) GROUP BY 1))""",
         **_MORE,
     ),
     "peak_months": over("SELECT category, arg_max(month, (x, -month)) AS peak_month, arg_min(month, (x, month)) AS trough_month FROM top_index GROUP BY 1", **_MORE),

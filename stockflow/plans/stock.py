@@ -10,6 +10,7 @@ from ..operators import demand, replenishment as rp, stock
 from ..operators.lead_times import median_lead_times, with_lead_time
 from ..operators.versions import latest_version
 from ..sources import tables as t
+from ..sources.kept import kept
 from .views import STATUS, over
 
 SPANS = (14, 30, 60)
@@ -125,7 +126,9 @@ def routed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.recommend(routed_metrics(spark, sf_dir))
+    """By default settings. Metrics and velocities are a table that is kept, so that grids, orders and logs don't compute them again."""
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("part", "orders", "customer", "nation", "lineitem", "supplier", "events")]
+    return rp.planned(kept(spark, "velocities", inputs, lambda: rp.velocities(routed_metrics(spark, sf_dir))))
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:

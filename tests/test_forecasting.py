@@ -99,7 +99,7 @@ def test_trend_and_forecast(spark):
 
 def test_blended(spark):
     rows = spark.createDataFrame([([2.0] * 6 + [0.0] * 6, [1.0] * 12, 12), (None, [1.0] * 12, 0), ([3.0] * 12, None, 0), (None, None, 5)], "a array<double>, b array<double>, n int")
-    got = [r[0] for r in rows.select(fc.blended(F.col("a"), F.col("b"), F.col("n"))).collect()]
+    got = [r[0] for r in fc.blended(rows, "a", "b", "n").select("indices").collect()]
     assert got == [[1.5] * 6 + [0.5] * 6, [1.0] * 12, [3.0] * 12, [1.0] * 12]
 
 
