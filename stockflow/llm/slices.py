@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -45,14 +47,16 @@ def sums(run: np.ndarray) -> np.ndarray:
     return total
 
 
-def alike(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of slices of a run: the first of each kind, and each one's kind. In a run of more than MOST bytes slices are told apart as they are."""
+def hashes(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each slice. In a run of more than MOST bytes they come from a digest: such a run is one slice that no shorter run has."""
     if len(run) > MOST:
-        seen: dict[bytes, int] = {}
-        kind = np.array([seen.setdefault(run[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-        return np.unique(kind, return_index=True)[1], kind
+        return np.array([int.from_bytes(hashlib.blake2b(run[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
     total = sums(run)
-    h = spread((total[ends] - total[starts]) * FALL[starts] + (ends - starts).astype(np.uint64))
+    return spread((total[ends] - total[starts]) * FALL[starts] + (ends - starts).astype(np.uint64))
+
+
+def kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers: the first of each kind, kinds ascending, and each one's kind."""
     order = ordered(h)
     h = h[order]
     new = np.empty(len(h), bool)
@@ -63,6 +67,11 @@ def alike(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return order[new], kind
 
 
+def alike(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slices of a run: the first of each kind, and each one's kind."""
+    return kinds(hashes(run, starts, ends))
+
+
 def words(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a run: what stands between space and U+0009-U+000D."""
     inside = np.zeros(len(run) + 2, bool)
