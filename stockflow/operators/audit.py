@@ -46,3 +46,14 @@ def writeback_outbox(rows: DataFrame, log_id: str = "", at=None) -> DataFrame:
         F.lit("pending").alias("status"),
         F.lit(None).cast("string").alias("error_message"),
     )
+
+
+def push_log(plan: DataFrame, draft_id: str, at) -> DataFrame:
+    """Rows for the log of pushed orders from a plan of pushes (item_id, action, line_quantity, order_id): pending, until whoever sends them says how it went."""
+    return plan.select(F.lit(draft_id).alias("draft_id"), F.lit(at).cast("timestamp").alias("logged_at"), "item_id", "action", F.col("line_quantity").alias("quantity"), F.col("order_id").alias("target_order_id"), F.lit("pending").alias("status"))
+
+
+def eta_outbox(orders: DataFrame, days: int, at) -> DataFrame:
+    """Promised dates to be sent to the web shop, for their log too: that of each order (order_id, eta), so many days later; one without a date gets none."""
+    changed = orders.where("eta is not null").select("order_id", F.lit(at).cast("timestamp").alias("logged_at"), F.col("eta").alias("old_eta"), F.date_add("eta", days).alias("new_eta"))
+    return changed.distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.versions import latest_version, upsert
@@ -12,8 +14,8 @@ SCHEMAS = {
     "writeback_log": "log_id string, logged_at timestamp, sku string, location_id long, old_reorder_point long, new_reorder_point long, old_desired_level long, new_desired_level long, status string, error_message string",
     "po_push_log": "draft_id string, logged_at timestamp, item_id long, action string, quantity long, target_order_id long, status string",
     "eta_log": "order_id long, logged_at timestamp, old_eta date, new_eta date",
-    "managed_skus": "sku string, item_id string, product string, brand string, vendor string, category string, added_by string",
-    "overrides": "sku string, location_id long, manual_reorder_point long, manual_desired_level long, locked boolean",
+    "managed_skus": "sku string, item_id string, product string, brand string, vendor string, category string, added_by string, updated_at timestamp",
+    "overrides": "sku string, location_id long, manual_reorder_point long, manual_desired_level long, locked boolean, updated_at timestamp",
     "brand_rules": "brand_name string, preferred_vendor_id string, preferred_vendor_name string, active boolean, created_at timestamp",
     "po_drafts": "draft_id string, vendor_id long, shop_id long, status string, target_order_id long, updated_at timestamp",
     "po_draft_lines": "draft_id string, item_id long, quantity long, tag string",
@@ -39,25 +41,40 @@ class Store:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def _current(self, name: str) -> tuple[int, str]:
+        """Version and folder of a table as it is. Of two writers that took the same number the one whose folder comes first by name has it."""
+        versions = f"{self.folder}/{name}.versions"
+        if not self._exists(versions):
+            return 0, f"{self.folder}/{name}"
+        row = self.spark.read.schema("v long, folder string").json(versions).orderBy(F.desc("v"), "folder").first()
+        return row["v"], f"{self.folder}/{row['folder']}"
+
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self.schema(name).names).write.mode("append").parquet(f"{self.folder}/{name}")
+        """Adds rows to the table as it is, replaced or not."""
+        rows.select(*self.schema(name).names).write.mode("append").parquet(self._current(name)[1])
 
     def read(self, name: str) -> DataFrame:
         """A table as it is; empty if nothing has been written."""
-        versions, path = f"{self.folder}/{name}.versions", f"{self.folder}/{name}"
-        if self._exists(versions):
-            path = f"{path}.v{self.spark.read.schema('v long').json(versions).agg(F.max('v')).first()[0]}"
+        path = self._current(name)[1]
         return self.spark.read.schema(self.schema(name)).parquet(path) if self._exists(path) else self.empty(name)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        versions = f"{self.folder}/{name}.versions"
-        last = self.spark.read.schema("v long").json(versions).agg(F.max("v")).first()[0] if self._exists(versions) else 0
-        rows.select(*self.schema(name).names).write.mode("overwrite").parquet(f"{self.folder}/{name}.v{last + 1}")
-        self.spark.createDataFrame([(last + 1,)], "v long").coalesce(1).write.mode("append").json(versions)
-
-    def merge(self, name: str, changes: DataFrame) -> None:
-        """Replaces rows by key, and adds those whose key is new. A brand rule without a vendor is never active."""
+        """Writes another version beside the old one, in a folder of its own, and then names it. Raises if another writer was first with this version."""
+        last = self._current(name)[0]
+        folder = f"{name}.v{last + 1}.{uuid.uuid4().hex}"
+        rows.select(*self.schema(name).names).write.parquet(f"{self.folder}/{folder}")
+        self._name(name, last + 1, folder)
+        if (found := self._current(name)) != (last + 1, f"{self.folder}/{folder}"):
+            raise RuntimeError(f"{name} was replaced by another writer: {found[1]}")
+
+    def _name(self, name: str, version: int, folder: str) -> None:
+        self.spark.createDataFrame([(version, folder)], "v long, folder string").coalesce(1).write.mode("append").json(f"{self.folder}/{name}.versions")
+
+    def merge(self, name: str, changes: DataFrame, at=None) -> None:
+        """Replaces rows by key, and adds those whose key is new; updated_at of tables that have it becomes `at`. A brand rule without a vendor is never active."""
         keys, kept = KEYS[name]
+        if "updated_at" in self.schema(name).names:
+            changes = changes.withColumn("updated_at", F.lit(at).cast("timestamp"))
         if name == "brand_rules":
             changes = checked_rules(changes)
         self.replace(name, upsert(self.read(name), changes.select(*self.schema(name).names), keys, kept))
@@ -80,6 +97,23 @@ class Store:
         for name in ("po_draft_lines", "po_drafts"):
             self.replace(name, self.read(name).where(F.col("draft_id") != draft_id))
 
+    def drafts(self, status: str | None = None) -> DataFrame:
+        """Drafts, newest first; of one status if it is given."""
+        rows = self.read("po_drafts")
+        return (rows.where(F.col("status") == status) if status else rows).orderBy(F.desc("updated_at"), "draft_id")
+
+    def draft(self, draft_id: str) -> DataFrame:
+        """A draft and its lines, as an array by item."""
+        own = F.col("draft_id") == draft_id
+        return with_lines(self.read("po_drafts").where(own), self.read("po_draft_lines").where(own))
+
+    def start_push(self, draft_id: str, at) -> None:
+        """Marks a draft as being pushed. Raises if there is none, or if it was pushed before or is being pushed."""
+        row = self.read("po_drafts").where(F.col("draft_id") == draft_id).first()
+        if row is None or row["status"] in ("pushing", "pushed"):
+            raise ValueError(f"draft {draft_id} {'is not there' if row is None else 'is ' + row['status']}")
+        self.set_status(draft_id, "pushing", None, at)
+
     def newest(self, name: str, n: int, by: str = "logged_at") -> DataFrame:
         return self.read(name).orderBy(F.desc(by), *self.schema(name).names[:1]).limit(n)
 
@@ -88,6 +122,13 @@ class Store:
         self.read("writeback_log").select(*EXPORTED).write.mode("overwrite").csv(path, header=True)
 
 
+def with_lines(drafts: DataFrame, lines: DataFrame) -> DataFrame:
+    """drafts with `lines`, an array of (item_id, quantity, tag) by item: a draft goes to one vendor and shop, and its lines are as few as the items on it."""
+    found = lines.groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "quantity", "tag"))).alias("lines"))
+    empty = F.array().cast(found.schema["lines"].dataType)
+    return drafts.join(found, "draft_id", "left").withColumn("lines", F.coalesce("lines", empty))
+
+
 def checked_rules(rules: DataFrame) -> DataFrame:
     none = F.coalesce(F.trim("preferred_vendor_id"), F.lit("")) == ""
     return rules.withColumns({"active": F.col("active") & ~none, "preferred_vendor_id": F.when(~none, F.col("preferred_vendor_id")), "preferred_vendor_name": F.when(~none, F.col("preferred_vendor_name"))})

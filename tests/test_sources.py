@@ -50,6 +50,25 @@ def test_store(spark, tmp_path):
     assert {(r.draft_id, r.item_id) for r in store.read("po_draft_lines").collect()} == {("d1", 9), ("d2", 2)}
     store.delete_draft("d2")
     assert store.read("po_drafts").count() == store.read("po_draft_lines").count() == 1
+    store.append("po_drafts", draft(("d3", 3, 0, "draft", None, at)))
+    store.append("po_draft_lines", lines(("d3", 4, 1, "new_po"), ("d3", 2, 6, "new_po")))
+    assert {r.draft_id for r in store.read("po_drafts").collect()} == {"d1", "d3"}  # what is appended after a replacement is read
+    assert [r.draft_id for r in store.drafts("draft").collect()] == ["d3"] and [r.draft_id for r in store.drafts().collect()] == ["d1", "d3"]
+    assert [tuple(x) for x in store.draft("d3").first().lines] == [(2, 6, "new_po"), (4, 1, "new_po")]
+    store.start_push("d3", at)
+    for name in ("d3", "d1", "d9"):
+        with pytest.raises(ValueError, match=name):
+            store.start_push(name, at)
+    last, _ = store._current("po_drafts")
+    store._name("po_drafts", last + 1, f"po_drafts.v{last + 1}.0")  # another writer takes the next version
+    real = store._current
+    with pytest.raises(RuntimeError, match="another writer"):
+        calls = []
+        store._current = lambda name: calls.append(name) or ((last, "") if len(calls) == 1 else real(name))
+        store.replace("po_drafts", draft(("d4", 1, 0, "draft", None, at)))
+    store._current = real
+    store.merge("overrides", spark.createDataFrame([("a", 1, 2, 3, True)], "sku string, location_id long, manual_reorder_point long, manual_desired_level long, locked boolean"), at)
+    assert store.read("overrides").first().updated_at == at
     log = spark.createDataFrame([(str(i), at + timedelta(days=i), "s", 0, 1, 2, 3, 4, "success", None) for i in range(5)], stores.SCHEMAS["writeback_log"])
     store.append("writeback_log", log)
     store.append("writeback_log", log.where("false"))
@@ -78,3 +97,29 @@ def test_locations_are_counted_and_written_without_arrays(spark, tmp_path):
     stores.write_by_location(rows, locations, f"file://{tmp_path}/by")
     got = spark.read.parquet(f"file://{tmp_path}/by").collect()
     assert sorted((r.location_id, r.sku or "", r.qty or 0, r.found) for r in got) == [(0, "a", 2, True), (0, "a", 2, True), (0, "b", 1, True), (1, "c", 3, True), (9, "", 0, False)]
+
+
+def test_kept_results(spark, tmp_path):
+    from stockflow.sources import kept as k
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(len(made)).withColumn("x", F.lit(None).cast("string"))
+
+    source = f"{tmp_path}/in.parquet"
+    spark.range(3).write.parquet(source)
+    for _ in range(2):
+        assert k.kept(spark, "t", [source], build).count() == 1
+    spark.range(4).write.mode("append").parquet(source)
+    assert k.kept(spark, "t", [source], build).count() == 2  # the input has changed
+    assert k.kept(spark, "t", [source], build, max_age=-1).count() == 3  # too old
+
+    def broken():
+        raise RuntimeError("down")
+
+    with pytest.warns(UserWarning, match="older table"):
+        assert k.kept(spark, "t", [source], broken, max_age=-1).count() == 3
+    with pytest.raises(RuntimeError, match="down"):
+        k.kept(spark, "other", [source], broken)
