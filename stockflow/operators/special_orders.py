@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import ordered_case
+from .grid import searched
 
 # Stages of procurement, flags by how grave they are, words that mean an order is in.
 STAGES = ("open_pool", "unordered_po", "ordered", "received")
 FLAG_RANK = {"none": 0, "no_eta": 1, "overdue": 2, "ready_not_called": 2, "overdue_mid": 3, "critical": 4}
 RECEIVED_WORDS = ("received", "ready", "arrived", "pickup", "checked in", "in stock")
+# What a flag is called within its stage, and its tone.
+TRIAGE = {
+    "open_pool": {"critical": ("Open Order 12d+", "danger"), "overdue_mid": ("Open Order 7-11d", "danger"), "overdue": ("Open Order 5-6d", "danger"), "healthy": ("Healthy (0-4d)", "ok")},
+    "unordered_po": {"critical": ("Unordered 12d+", "danger"), "overdue_mid": ("Unordered 7-11d", "danger"), "overdue": ("Unordered 5-6d", "danger"), "healthy": ("Healthy (0-4d)", "ok")},
+    "ordered": {"critical": ("PO Critically Overdue (8d+)", "danger"), "overdue_mid": ("PO Overdue (3-7d)", "danger"), "overdue": ("PO Overdue (1-2d)", "danger"), "no_eta": ("No ETA", "warn"), "healthy": ("Healthy", "ok")},
+    "received": {"ready_not_called": ("Ready, Not Called", "warn"), "healthy": ("Healthy", "ok")},
+}
 #: Web orders that are over.
 SHIPPED, PAID_BACK = "FULFILLED", ("REFUNDED", "PARTIALLY_REFUNDED", "VOIDED")
 
@@ -54,6 +62,60 @@ def flag_rank(flag: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in FLAG_RANK.items() for x in pair)), flag)
 
 
+def triage_names(spark: SparkSession) -> DataFrame:
+    """(stage, sub_key, label, tone): a row for each of TRIAGE."""
+    return spark.createDataFrame([(stage, key, *words) for stage, own in TRIAGE.items() for key, words in own.items()], "stage string, sub_key string, label string, tone string")
+
+
+def sub_key(flag: Column) -> Column:
+    return F.when(flag == "none", "healthy").otherwise(flag)
+
+
+def with_triage(rows: DataFrame) -> DataFrame:
+    """rows (stage, flag) with sub_key, label and tone; a flag that its stage doesn't have is called healthy."""
+    names = triage_names(rows.sparkSession).select(F.col("stage").alias("t_stage"), F.col("sub_key").alias("t_key"), "label", "tone")
+    rows = rows.withColumn("sub_key", sub_key(F.col("flag")))
+    rows = rows.join(names, (F.col("stage") == F.col("t_stage")) & (F.col("sub_key") == F.col("t_key")), "left")
+    return rows.withColumns({"label": F.coalesce("label", F.lit("Healthy")), "tone": F.coalesce("tone", F.lit("ok"))}).drop("t_stage", "t_key")
+
+
+def triage_counts(rows: DataFrame) -> DataFrame:
+    """(stage, sub_key, label, n) of each of TRIAGE, also those without rows."""
+    counts = rows.groupBy("stage", sub_key(F.col("flag")).alias("sub_key")).agg(F.count("*").alias("n"))
+    return triage_names(rows.sparkSession).drop("tone").join(counts, ["stage", "sub_key"], "left").fillna(0, ["n"])
+
+
+def with_vendors(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """rows (brand, shop_id) with available_vendors: those of best (brand_name, shop_id, place, ...), which has a few for each brand and shop, in their order."""
+    entry = F.struct("place", "vendor_id", "vendor_name", "lead_time_days", "lead_time_source", "distinct_items")
+    lists = best.groupBy(F.col("brand_name").alias("b_brand"), F.col("shop_id").alias("b_shop")).agg(F.sort_array(F.collect_list(entry)).alias("available_vendors"))
+    empty = F.array().cast(lists.schema["available_vendors"].dataType)
+    rows = rows.join(lists, (F.col("brand") == F.col("b_brand")) & (F.col("shop_id") == F.col("b_shop")), "left")
+    return rows.withColumn("available_vendors", F.coalesce("available_vendors", empty)).drop("b_brand", "b_shop")
+
+
+#: The columns that a search looks through, and the longest that a live order has waited.
+SEARCHED, LIVE_DAYS = ["customer_name", "customer_email", "description", "system_sku", "brand", "vendor_name", "po_id", "special_order_id", "web_order_name", "vendor_names"], 365
+
+
+def found(rows: DataFrame, text: str = "", flagged_only: bool = False, shop: int | None = None, live_only: bool = True) -> DataFrame:
+    """Enriched rows that hold text in one of SEARCHED, and pass what else is asked for; an order of unknown age is live."""
+    if flagged_only:
+        rows = rows.where("flag <> 'none'")
+    if shop is not None:
+        rows = rows.where(F.col("shop_id") == shop)
+    if live_only:
+        rows = rows.where(F.col("age_days").isNull() | (F.col("age_days") <= LIVE_DAYS))
+    return searched(rows, text, SEARCHED)
+
+
+def tagged(orders: DataFrame, tags: DataFrame, fields: DataFrame, lines: DataFrame, tag: str = "so", owner: str = "ORDER") -> DataFrame:
+    """Lines of orders that have a tag, whatever its case, with the text of their field if the owner has one. An order with two tags that match comes twice."""
+    tags = tags.where(F.lower("tag") == tag).select("order_id")
+    fields = fields.where(F.upper("owner") == owner).select("order_id", "field")
+    return orders.join(tags, "order_id").join(fields, "order_id", "left").join(lines, "order_id")
+
+
 def by_gravity(rows: DataFrame) -> list[Column]:
     """The order of a work list: gravest first, then latest, then oldest."""
     return [F.desc(flag_rank(F.col("flag"))), F.desc(F.coalesce("days_overdue", F.lit(0))), F.desc(F.coalesce("age_days", F.lit(0))), F.asc("special_order_id")]
