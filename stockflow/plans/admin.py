@@ -22,12 +22,6 @@ def grid_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.choices(all_recommendations(spark, sf_dir), ["brand", "category_top_level", "location", "status"])
 
 
-def grid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations of one shop and some statuses that need units and aren't locked."""
-    rows = grid.chosen(all_recommendations(spark, sf_dir), {"location": "North", "status": ["critical", "low", "warning"], "brand": None})
-    return grid.in_category(rows.withColumn("category_level_2", F.concat_ws("/", "category_top_level", "brand")), "ECONOMY").where("qty_to_order > 0").select("item_id", "shop_id", "qty_to_order")
-
-
 def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.key_figures(all_recommendations(spark, sf_dir))
 
@@ -76,7 +70,7 @@ def location_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.location_summary(rows, locations)
 
 
-QUERIES = {f.__name__: f for f in (grid_page, grid_choices, grid_filter, kpi_summary, audit_unpivot, run_summary, latest_runs, upsert_managed, upsert_overrides, upsert_brand_rules, location_sizes)}
+QUERIES = {f.__name__: f for f in (grid_page, grid_choices, kpi_summary, audit_unpivot, run_summary, latest_runs, upsert_managed, upsert_overrides, upsert_brand_rules, location_sizes)}
 
 _R = {"recommended": RECOMMENDED, "ranked": "SELECT *, list_position(['critical', 'low', 'warning', 'healthy', 'incoming', 'on_target', 'high', 'overstock', 'no_demand'], status) AS status_rank FROM recommended"}
 
@@ -87,7 +81,6 @@ ORACLES = {
   UNION SELECT 'location', CASE shop_id WHEN 0 THEN 'North' WHEN 1 THEN 'Centre' ELSE 'South' END FROM recommended""",
         **_R,
     ),
-    "grid_filter": over("SELECT item_id, shop_id, qty_to_order FROM recommended WHERE shop_id = 0 AND status IN ('critical', 'low', 'warning') AND category_top_level = 'ECONOMY' AND qty_to_order > 0", **_R),
     "kpi_summary": over(
         """SELECT count(*) AS items, count(*) FILTER (qty_to_order > 0) AS needs_order, count(*) FILTER (status = 'critical') AS critical, count(*) FILTER (status = 'low') AS low, count(*) FILTER (status = 'overstock') AS overstock,
   count(*) FILTER (change_needed) AS changes, coalesce(sum(qty_to_order), 0)::BIGINT AS units_to_order FROM recommended""",

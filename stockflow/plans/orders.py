@@ -38,9 +38,9 @@ def order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adopted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished special orders that take web orders which no open one refers to."""
+    """Finished special orders that take web orders which no open one of the last ninety days refers to."""
     orders = so.open_web_orders(t.shop_orders(spark, sf_dir))
-    rows = so.adopted(flagged(spark, sf_dir, done=True), orders, so.consumed(flagged(spark, sf_dir), orders))
+    rows = so.adopted(flagged(spark, sf_dir, done=True), orders, so.consumed(flagged(spark, sf_dir).where("age_days <= 90"), orders))
     return rows.select("special_order_id", "web_match", F.col("n_candidates").alias("candidates"))
 
 
@@ -151,7 +151,7 @@ ORACLES = {
     "special_order_summary": over(f"SELECT s.stage, count(f.flag) AS total, count(*) FILTER (f.flag <> 'none') AS flagged, {', '.join(f'''count(*) FILTER (f.flag = '{k}') AS {k}''' for k in so.FLAG_RANK)} FROM (SELECT unnest({list(so.STAGES)}) AS stage) s LEFT JOIN flagged f USING (stage) GROUP BY 1", **_MORE),
     "work_list": over("SELECT special_order_id, stage, flag, days_overdue, age_days FROM flagged ORDER BY flag_rank DESC, coalesce(days_overdue, 0) DESC, coalesce(age_days, 0) DESC, special_order_id LIMIT 100", **_MORE),
     "order_matches": over("SELECT special_order_id, web_match, web_order_id, web_order_name, n AS candidates FROM flagged", **_MORE),
-    "adopted_orders": over("SELECT special_order_id, web_match, n AS candidates FROM staged WHERE done AND special_order_id IN (SELECT special_order_id FROM adopting)", **_MORE),
+    "adopted_orders": over("SELECT special_order_id, web_match, n AS candidates FROM staged WHERE done AND special_order_id IN (SELECT min(special_order_id) FROM pairs WHERE done AND order_id NOT IN (SELECT order_id FROM pairs JOIN special_orders USING (special_order_id) WHERE NOT pairs.done AND created_date >= DATE '2001-05-03') GROUP BY order_id)", **_MORE),
     "unmatched_orders": over(
         """SELECT order_id, min(order_name) AS order_name, min(email) AS email, min(eta) AS eta, coalesce(string_agg(DISTINCT sku, ',' ORDER BY sku), '') AS skus FROM open_web
   WHERE order_id NOT IN (SELECT order_id FROM taken) AND order_id NOT IN (SELECT order_id FROM pairs WHERE special_order_id IN (SELECT special_order_id FROM adopting)) GROUP BY 1""",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as c
-from ..operators import audit, purchasing, replenishment as rp
+from ..operators import audit, grid, purchasing, replenishment as rp
 from ..sources import stores, tables as t
 from .views import STATUS, over
 
@@ -19,7 +19,8 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each part as sums and remainders of its key: sales that rise, fall and stop, levels from empty to far too much, an unknown shop."""
     k = F.col("p_partkey")
     sells = F.when(k % 10 == 0, 0).otherwise(1)
-    units = [sells * ((k * 7) % 23), sells * ((k * 5) % 31), sells * ((k * 3) % 41)]
+    lately = F.when(k % 17 == 3, 0).otherwise(sells)  # those sell two units in all, in the last days
+    units = [F.when(k % 17 == 3, 2).otherwise(sells * ((k * 7) % 23)), lately * ((k * 5) % 31), lately * ((k * 3) % 41)]
     sold, out = [k % 9, (k * 3) % 7, k % 11], [(k % 5) * 3, (k % 6) * 2, (k % 4) * 6]
     up_to = lambda x, n: reduce(lambda a, b: a + b, x[:n])
     rows = t.table(spark, sf_dir, "part").withColumns(
@@ -49,6 +50,14 @@ SETTINGS = {
 }
 
 
+def grid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations of one shop, some statuses and one category, with overrides, that need units and aren't locked."""
+    rows = rp.apply_overrides(rp.recommend(scenario_metrics(spark, sf_dir)), t.overrides(spark, sf_dir))
+    rows = rows.join(t.items(spark, sf_dir).select("item_id", "brand", "category_top_level", "category_level_2", "category_path"), "item_id")
+    rows = grid.in_category(grid.chosen(rows, {"location": "North", "status": ["critical", "low", "warning", "healthy"], "brand": None}), "ECONOMY")
+    return rows.where((F.col("qty_to_order") > 0) & ~F.col("locked")).select("item_id", "shop_id", "status", "qty_to_order")
+
+
 def scenario_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocity and levels by each of SETTINGS."""
     metrics = scenario_metrics(spark, sf_dir)
@@ -113,16 +122,16 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (scenario_recommendations, scenario_settings, scenario_enriched, push_outcomes, writeback_tally, edited_lines, scenario_audit, velocity_snapshots, scalar_functions)}
+QUERIES = {f.__name__: f for f in (scenario_recommendations, grid_filter, scenario_settings, scenario_enriched, push_outcomes, writeback_tally, edited_lines, scenario_audit, velocity_snapshots, scalar_functions)}
 
-_UNITS = ["(k * 7) % 23", "(k * 5) % 31", "(k * 3) % 41"]
+_LATELY = "(CASE WHEN k % 17 = 3 OR k % 10 = 0 THEN 0 ELSE 1 END)"
+_UNITS = ["CASE WHEN k % 17 = 3 THEN 2 WHEN k % 10 = 0 THEN 0 ELSE (k * 7) % 23 END", f"{_LATELY} * ((k * 5) % 31)", f"{_LATELY} * ((k * 3) % 41)"]
 _SOLD, _OUT = ["k % 9", "(k * 3) % 7", "k % 11"], ["(k % 5) * 3", "(k % 6) * 2", "(k % 4) * 6"]
 _SPANS = ", ".join(
-    f"({sells} * ({' + '.join(x[: i + 1])}))::{kind} AS {name}_{days}"
-    for name, x, kind, sells in (("units", _UNITS, "DOUBLE", "(CASE WHEN k % 10 = 0 THEN 0 ELSE 1 END)"), ("sale_days", _SOLD, "BIGINT", "1"), ("days_out_of_stock", _OUT, "BIGINT", "1"))
+    f"({' + '.join(f'({y})' for y in x[: i + 1])})::{kind} AS {name}_{days}"
+    for name, x, kind in (("units", _UNITS, "DOUBLE"), ("sale_days", _SOLD, "BIGINT"), ("days_out_of_stock", _OUT, "BIGINT"))
     for i, days in enumerate((14, 30, 60))
 )
-_SPLIT = ("(k * 5) % 31", "(k * 3) % 41")
 _RATE = {
     "shrink": "{u} / {n}.0 + ({u} / {a} - {u} / {n}.0) * least(1.0, {a} / 10.0)",
     "raw": "{u} / {a}",
@@ -165,6 +174,8 @@ _MORE = {
       least(16, greatest(0, sale_days_30 - sale_days_14)) AS s_b, least(30, greatest(0, sale_days_60 - sale_days_30)) AS s_c FROM made)""",
     "made_rates": f"SELECT *, {', '.join(f'({_RATE["shrink"].format(u=u, a=a, n=n)}) AS {v}' for u, a, n, v in (('units_14', 'act_a', 14, 'v_a'), ('u_b', 'act_b', 16, 'v_b'), ('u_c', 'act_c', 30, 'v_c')))} FROM ({_levels(rp.Settings())})",
     "made_status": f"SELECT *, {STATUS} AS status, current_reorder_point <> reorder_point OR current_desired_level <> desired_level AS change_needed FROM made_rates",
+    "made_manual": """SELECT m.* EXCLUDE (reorder_point, desired_level), coalesce(o.manual_reorder_point, m.reorder_point) AS reorder_point, coalesce(o.manual_desired_level, m.desired_level) AS desired_level, coalesce(o.locked, false) AS locked
+    FROM made_rates m LEFT JOIN overrides o ON o.sku = m.sku AND o.location_id = m.shop_id""",
     "made_pushes": "SELECT (k % 50)::VARCHAR AS draft_id, k % 3 AS location_id, CASE WHEN k % 50 < 20 THEN 'success' WHEN k % 3 = 0 THEN 'failed' ELSE 'success' END AS status FROM made",
 }
 _TREND, _SEASON = "greatest(0, coalesce(CASE WHEN k % 5 <> 0 THEN (k % 5 - 1) / 2.0::DOUBLE END, 1))", "greatest(0, coalesce(CASE WHEN k % 7 <> 0 THEN (k % 7) / 3.0::DOUBLE END, 1))"
@@ -179,6 +190,11 @@ ORACLES = {
   round_even(v_a * 14, 1) AS adjusted_14, round_even(v_b * 16, 1) AS adjusted_15_30, round_even(v_c * 30, 1) AS adjusted_31_60, round_even(v * 30, 1) AS adjusted_30, round_even(v * 60, 1) AS adjusted_60, {_MOMENTUM} AS momentum, change_needed FROM made_status""",
         **_MORE,
     ),
+    "grid_filter": over(
+        f"""SELECT item_id, shop_id, status, qty_to_order FROM (SELECT *, {STATUS} AS status, greatest(0, trunc(desired_level - (greatest(on_hand, 0) + on_order)))::BIGINT AS qty_to_order FROM made_manual) JOIN (SELECT item_id, category_top_level FROM items) USING (item_id)
+  WHERE shop_id = 0 AND status IN ('critical', 'low', 'warning', 'healthy') AND category_top_level = 'ECONOMY' AND qty_to_order > 0 AND NOT locked""",
+        **_MORE,
+    ),
     "scenario_settings": over(" UNION ALL ".join(f"SELECT item_id, '{name}' AS settings, round(v, 6) AS velocity, reorder_point, desired_level FROM ({_levels(s)})" for name, s in SETTINGS.items()), **_MORE),
     "scenario_enriched": over(f"SELECT item_id, round(v * {_TREND} * {_SEASON}, 6) AS velocity, round(({_BLEND}) * {_TREND} * {_SEASON}, 6) AS blended FROM (SELECT *, {_velocity('shrink', (0.4, 0.4, 0.2))} AS v FROM made_active)", **_MORE),
     "push_outcomes": over("SELECT draft_id, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' ELSE 'pushed' END AS status, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'success') AS succeeded FROM made_pushes GROUP BY 1", **_MORE),

@@ -16,6 +16,22 @@ def test_query(spark, sf, duck, name):
     assert got == want
 
 
+def test_scenarios_have_all_classes(spark, sf):
+    from stockflow.operators import replenishment as rp
+
+    rows = plans.QUERIES["scenario_recommendations"](spark, sf).collect()
+    assert {r.status for r in rows} == set(rp.STATUSES)
+    assert {r.momentum for r in rows} == {"insufficient_data", "spiky", "surging", "rising", "cooling", "flat"}
+    assert any(r.status_reason.startswith("On hand is negative") for r in rows)
+    with pytest.raises(ValueError, match="mode"):
+        rp.Settings(mode="none")
+
+
+@pytest.mark.parametrize("name", ["grid_filter", "adopted_orders", "order_search", "promised_first", "drafts_with_lines", "tagged_web_orders"])
+def test_query_has_rows(spark, sf, name):
+    assert not plans.QUERIES[name](spark, sf).isEmpty()
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
