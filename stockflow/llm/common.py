@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.kept import shared_dir
+
 #: Bytes of text in one Arrow batch that goes back to Spark, so that very long documents don't pile up.
 BATCH_BYTES = 16 << 20
 
@@ -18,21 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; where it is unset, as in tests, a temporary one."""
-    conf = spark.sparkContext.getConf()
-    if not (found := conf.get("spark.checkpoint.dir") or spark.conf.get("stockflow.shared.dir", None)):
-        found = f"file://{tempfile.mkdtemp(prefix='stockflow-')}"
-        spark.conf.set("stockflow.shared.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stockflow-{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor costs none of it."""
     df.write.parquet(path := new_path(df.sparkSession, label))
