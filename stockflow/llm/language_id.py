@@ -14,6 +14,8 @@ from . import common
 
 #: Labelled documents of each language that the likelihoods are fitted on, those whose ids have the least hashes, and the longest taken.
 SAMPLE, SAMPLE_CHARS = 1500, 50_000
+#: Languages whose numbers of rows are given to all tasks, so that texts needn't move to meet them.
+FEW_LANGUAGES = 10_000
 #: Slots of hashed byte trigrams; weight of a trigram's evidence, as neighbours overlap; weight of the parent in a smoothed prior.
 SLOTS, TEMPER, PARENT = 1 << 16, 0.2, 5.0
 #: The class of texts in no known language: every trigram is as likely as any other.
@@ -52,6 +54,9 @@ def labelled_sample(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "of_lang")
+    sizes = common.written(sizes, "language-sizes")
+    if sizes.count() <= FEW_LANGUAGES:  # else Spark joins as it sees fit
+        sizes = F.broadcast(sizes)
     share = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
     few = labelled.withColumn("share", share).join(sizes, F.col("lang") == F.col("of_lang")).where(F.col("share") * F.col("rows") <= 4 * n)
     order = Window.partitionBy("lang").orderBy("share", "doc_id")
