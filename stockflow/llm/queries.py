@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_extract, language_id, lm_score, near_dup, packing, secrets, token_counts, warc
+from . import collocations, decontaminate, fingerprints, html_extract, language_id, lm_score, near_dup, packing, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
     "op10_html_text": html_extract.op10_html_text,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
