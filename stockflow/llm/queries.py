@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, fingerprints, html_extract, language_id, lm_score, near_dup, packing, secrets, token_counts, warc
+from . import collocations, decontaminate, fingerprints, html_extract, inner_products, language_id, lm_score, near_dup, packing, secrets, token_counts, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -20,10 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.op9_language_id,
     "op10_html_text": html_extract.op10_html_text,
     "op11_collocations": collocations.op11_collocations,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_inner_products": inner_products.op13_inner_products,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_inner_products": inner_products.OP13_SQL,
 }
