@@ -18,15 +18,18 @@ from . import common
 LEAST, LONGEST, PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Bytes of text in a bundle, and in a slice of a text that is split into words at once; counters of a sketch's row for each 16 words, as a power of two;
 #: counters of a shard at least, and shards of a row at most.
-BUNDLE_BYTES, SLICE_BYTES, SPARSE, SHARD, SHARDS = 8 << 20, 4 << 20, 2, 1 << 18, 4096
+BUNDLE_BYTES, SLICE_BYTES, SPARSE, SHARD, SHARDS = 4 << 20, 1 << 20, 2, 1 << 18, 4096
 #: Rows of a sketch. The first takes the high bits of a phrase's hash, the second the low ones.
 ROWS = 2
 #: Separators of pieces all become one of them; tabs become spaces; A-Z are lowered.
 PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t" + bytes(range(65, 91)), b"." * 9 + b" " + bytes(range(97, 123)))
 U = np.uint64
+#: Texts as numbers of words, packed: so many ids, and so many bytes of words, which spaces part.
 BUNDLE = T.StructType(
     [
         T.StructField("bundle", T.LongType()),
+        T.StructField("n_ids", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
         T.StructField("langs", T.ArrayType(T.StringType())),
         T.StructField("n_words", T.ArrayType(T.LongType())),
         T.StructField("words", T.BinaryType()),
@@ -90,7 +93,8 @@ class Bundle:
     def row(self, number: int) -> tuple:
         ids = np.concatenate(self.ids)
         ids = ids[(ids != 0) | np.append(ids[1:] != 0, False)]  # one 0 between pieces is enough
-        return number, list(self.langs), self.n_words, b" ".join(self.words), np.array(self.lang_of, np.int32).tobytes(), ids.tobytes()
+        words = b" ".join(self.words)
+        return number, len(ids), len(words), list(self.langs), self.n_words, pa.compress(words, "zstd", asbytes=True), planes(np.array(self.lang_of)), planes(ids)
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -125,9 +129,9 @@ def bundles(docs: DataFrame, bundle_bytes: int) -> DataFrame:
 class Grams:
     """Hashes of the phrases at each place of a bundle's texts, and which of them count."""
 
-    def __init__(self, langs: list[str], words: bytes, lang_of: bytes, ids: bytes):
-        self.langs, self.words, self.lang_of = langs, words.split(b" ") if words else [], np.frombuffer(lang_of, np.int32)
-        self.ids = np.frombuffer(ids, np.int32)
+    def __init__(self, n_ids: int, n_bytes: int, langs: list[str], words: bytes, lang_of: bytes, ids: bytes):
+        self.langs, self.words = langs, pa.decompress(words, n_bytes, "zstd", asbytes=True).split(b" ") if n_bytes else []
+        self.lang_of, self.ids = numbers(len(self.words), lang_of), numbers(n_ids, ids)
         seeds = [xxhash.xxh3_64_intdigest(lang.encode()) for lang in langs]
         own = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[at]) for w, at in zip(self.words, self.lang_of.tolist(), strict=True)), np.uint64, len(self.words))
         self.hash = np.append(U(0), own)[self.ids]
@@ -240,12 +244,12 @@ def frequent(docs: DataFrame, least: int = LEAST, bundle_bytes: int = BUNDLE_BYT
     proportion to the bundle, what a shard adds up in proportion to the shard.
     """
     found = common.written(bundles(docs, bundle_bytes), "collocation-bundles")
-    words = found.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    bits = max(18, int(words // 4 >> SPARSE).bit_length())
+    words = found.agg(F.sum("n_ids")).first()[0] or 0
+    bits = max(18, int(words >> SPARSE).bit_length())
     if bits > 32:
         raise ValueError("more than 2**36 words: take a wider hash of counters")
     shard_bits = max(SHARD.bit_length() - 1, bits - SHARDS.bit_length() + 1)
-    columns = ["bundle", "langs", "words", "lang_of", "ids"]
+    columns = ["bundle", "n_ids", "n_bytes", "langs", "words", "lang_of", "ids"]
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[int, Grams, list]]:
         for i in range(batch.num_rows):
