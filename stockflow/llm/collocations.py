@@ -19,6 +19,8 @@ LEAST, LONGEST, PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Bytes of text in a bundle, and in a slice of a text that is split into words at once; counters of a sketch's row for each 16 words, as a power of two;
 #: counters of a shard at least, and shards of a row at most.
 BUNDLE_BYTES, SLICE_BYTES, SPARSE, SHARD, SHARDS = 4 << 20, 1 << 20, 2, 1 << 18, 4096
+#: Bundles whose phrases are counted in one task, about, so that counts of one phrase meet there before they are exchanged.
+COUNTED = 24
 #: Rows of a sketch. The first takes the high bits of a phrase's hash, the second the low ones.
 ROWS = 2
 #: Separators of pieces all become one of them; tabs become spaces; A-Z are lowered.
@@ -244,7 +246,7 @@ def frequent(docs: DataFrame, least: int = LEAST, bundle_bytes: int = BUNDLE_BYT
     proportion to the bundle, what a shard adds up in proportion to the shard.
     """
     found = common.written(bundles(docs, bundle_bytes), "collocation-bundles")
-    words = found.agg(F.sum("n_ids")).first()[0] or 0
+    words, n = found.agg(F.coalesce(F.sum("n_ids"), F.lit(0)), F.count("*")).first()
     bits = max(18, int(words >> SPARSE).bit_length())
     if bits > 32:
         raise ValueError("more than 2**36 words: take a wider hash of counters")
@@ -283,14 +285,19 @@ def frequent(docs: DataFrame, least: int = LEAST, bundle_bytes: int = BUNDLE_BYT
             for size in range(1, LONGEST + 1):
                 yield from grams.counts(size)
 
-    data, told = found.select(*columns), []
+    tasks, told = max(1, -(-n // COUNTED)), []
+
+    def data() -> DataFrame:
+        """Bundles with what they were told, those of a task together."""
+        out = found.select(*columns).repartition(tasks, "bundle")
+        for i, kept in enumerate(told):  # what is told of one bundle is bounded as it is
+            out = out.join(kept.repartition(tasks, "bundle").groupBy("bundle").agg(F.collect_list(F.struct("row", "shard", "n", "gaps")).alias(f"told{i}")), "bundle", "left")
+        return out
+
     for step in (first, second):
-        parts = common.map_rows(data, PART, step, lambda r: 80 + len(r[4]) + len(r[5]))
-        kept = common.written(merged(parts, shard_bits, least), "collocation-kept")
-        answers = kept.groupBy("bundle").agg(F.collect_list(F.struct("row", "shard", "n", "gaps")).alias(f"told{len(told)}"))  # of one bundle, so bounded
-        data = data.join(answers, "bundle", "left")
-        told.append(kept)
-    exact = common.map_rows(data, COUNT, last, lambda r: 60 + 4 * len(r[1]))
+        parts = common.map_rows(data() if told else found.select(*columns), PART, step, lambda r: 80 + len(r[4]) + len(r[5]))
+        told.append(common.written(merged(parts, shard_bits, least), "collocation-kept"))
+    exact = common.map_rows(data(), COUNT, last, lambda r: 60 + 4 * len(r[1]))
     counts = exact.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     totals = found.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n"))
     return common.written(counts, "collocation-counts"), common.written(totals, "collocation-totals")
