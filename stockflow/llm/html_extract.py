@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import common
 from .boosting import BoostedTrees
 
-# Fixed values of HTML: elements without end tags, with raw text, within lines, with raw text that leaves no gap in a line, never shown.
+# Fixed values of HTML: elements without end tags, with raw text, with raw text that leaves no gap in a line, never shown, and blocks; all others stand within lines.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes noscript".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 UNRENDERED = set("script style noscript".split())
-HIDDEN = set("head template select button svg math object audio video canvas datalist dialog".split())
+HIDDEN = set("head template select button svg object audio video canvas datalist dialog".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BLOCK = CLOSES_P | VOID | RAW | HIDDEN | set("html body dt dd li tr td th tbody thead tfoot caption colgroup option optgroup legend summary dir frameset frame hgroup search".split())
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 GROUPS = [("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "menu", "dl"), ("li", "dt", "dd"), ("article", "main"), ("nav", "aside", "footer"), ("header",), ("form", "fieldset"), ("table", "tr", "td", "th", "tbody", "thead"), ("section",), ("blockquote", "pre", "figure", "figcaption")]
 GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
@@ -32,8 +32,8 @@ ENDS = {t: re.compile(f"</{t}", re.IGNORECASE) for t in RAW}
 ATTR = re.compile(r"""([^\s"'<>/=][^\s"'>/=]*+)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s"'>]++))?+|["'/=<]""")
 UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: What the attributes of an element within a line have to hold to be looked at, and the tokens that make it an advert.
-TELLING, ADVERT = re.compile("hidden|none|class|id", re.IGNORECASE), set("ad ads advert advertisement adsense sponsored sponsor promo promotion".split())
+#: What the attributes of an element within a line have to hold to be looked at.
+TELLING = re.compile("hidden|none|class|id|role", re.IGNORECASE)
 STOPS = re.compile(r"[.,;:!?]")
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -42,28 +42,42 @@ SAMPLE, MADE, SAMPLE_CHARS = 200, 500, 200_000
 
 
 class Page:
-    """A page's block nodes in document order, and its runs of text, each with the node that it stands in."""
+    """A page's nodes in document order, and its runs of text, each with the node that it stands in.
+
+    Nodes are blocks, and those elements within lines that have a class, an id or a role: they are judged as blocks are, but leave the line whole.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.tokens, self.hidden, self.mark = [-1], ["html"], [()], [False], [None]
+        self.parent, self.tag, self.tokens, self.hidden, self.mark, self.inline = [-1], ["html"], [()], [False], [None], [False]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters of it in links
-        stack, pieces, at, linked, link = [0], [], 0, 0, False
+        self.lines: list[int] = []  # of each run, the line that it is part of
+        stack, pieces, at, link, line = [0], [], 0, False, 0
+        within_line: list[tuple[str, int]] = []  # the open elements of a line that are nodes or have the name of one
         muted, depth, within = "", 0, 0  # an element within a line whose text isn't shown, how many of its name are open in it, and how many nodes when it began
         opened: dict[str, int] = defaultdict(int)  # how many elements of a name are open
 
         def text(piece: str) -> None:
-            nonlocal linked
             if piece and not muted:
                 piece = entities.unescape(piece) if "&" in piece else piece
-                pieces.append(piece)
-                linked += len(piece) * link
+                node = within_line[-1][1] if within_line else stack[-1]
+                if not pieces or pieces[-1][0] != node:
+                    pieces.append([node, [], 0])
+                pieces[-1][1].append(piece)
+                pieces[-1][2] += len(piece) * link
 
         def flush() -> None:
-            nonlocal linked
-            if pieces and (run := " ".join("".join(pieces).split())):
-                self.runs.append((stack[-1], run, min(linked, len(run))))
+            nonlocal line
+            for i, (node, own, linked) in enumerate(pieces):
+                whole = "".join(own)
+                run = " ".join(whole.split())
+                if len(pieces) > 1:  # white space at its ends parts it from its neighbours in the line
+                    run = " " * (i > 0 and whole[:1].isspace()) + run + " " * (bool(run) and i < len(pieces) - 1 and whole[-1:].isspace())
+                if run:
+                    self.runs.append((node, run, min(linked, len(run))))
+                    self.lines.append(line)
+            line += 1
             pieces.clear()
-            linked = 0
+            within_line.clear()
 
         while m := TAG.search(source, at):
             text(source[at : m.start()])
@@ -72,14 +86,24 @@ class Page:
             if not name or not m[4]:  # a comment, a declaration, or a tag that the page ends in
                 continue
             name = name.lower()
-            if name in INLINE:
+            if name not in BLOCK:
                 if name == muted:
                     depth += -1 if m[1] else 1
                     muted = muted if depth else ""
-                elif not muted and not m[1] and m[3] and TELLING.search(m[3]):
-                    _, hidden, tokens = attributes(m[3])
-                    if hidden or not ADVERT.isdisjoint(tokens):
+                elif not muted and m[1]:
+                    if any(n == name for n, _ in within_line):
+                        while within_line.pop()[0] != name:
+                            pass
+                elif not muted:
+                    mark, hidden, tokens = attributes(m[3]) if m[3] and TELLING.search(m[3]) else (None, False, ())
+                    if hidden:
                         muted, depth, within = name, 1, len(stack)
+                    elif tokens:
+                        node = within_line[-1][1] if within_line else stack[-1]
+                        within_line.append((name, self.node(node, name, True)))
+                        self.tokens[-1], self.mark[-1] = tuple("~" + t for t in tokens), mark
+                    elif any(n == name for n, _ in within_line):
+                        within_line.append((name, within_line[-1][1]))
                 link = (not m[1]) if name == "a" else link
                 continue
             if name == "br":
@@ -116,11 +140,7 @@ class Page:
                 opened[self.tag[v]] -= 1
             if len(stack) < within:
                 muted, within = "", 0
-            self.parent.append(stack[-1])
-            self.tag.append(name)
-            self.tokens.append(())
-            self.hidden.append(name in HIDDEN)
-            self.mark.append(None)
+            self.node(stack[-1], name, False)
             if m[3]:
                 self.note(len(self.tag) - 1, m[3])
             if not m[3].rstrip().endswith("/") or name not in HIDDEN:
@@ -129,6 +149,23 @@ class Page:
         text(source[at:] if at < len(source) else "")
         flush()
 
+    def node(self, parent: int, name: str, inline: bool) -> int:
+        self.parent.append(parent)
+        self.tag.append(name)
+        self.tokens.append(())
+        self.hidden.append(name in HIDDEN)
+        self.mark.append(None)
+        self.inline.append(inline)
+        return len(self.tag) - 1
+
+    def text(self, stay: list[bool]) -> str:
+        """The runs of the nodes that stay: a line without gaps, a space between lines."""
+        lines: dict[int, list[str]] = defaultdict(list)
+        for (v, run, _), line in zip(self.runs, self.lines, strict=True):
+            if stay[v]:
+                lines[line].append(run)
+        return " ".join(x for own in lines.values() if (x := " ".join("".join(own).split())))
+
     def implied(self, stack: list[int], name: str) -> list[int]:
         """Takes off the stack, and returns, the elements that a start tag of this name closes."""
         cut = len(stack)
@@ -171,9 +208,6 @@ def attributes(source: str) -> tuple[bool | None, bool, tuple[str, ...]]:
     return mark, hidden, tuple(found)
 
 
-FEATURES = 12 + 2 * 4 + len(GROUPS) * 2 + 6
-
-
 def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     """A row for each node: text, links, marks and tags of its subtree and their densities, depth, place and share among siblings,
     kinds of its tag and of tags above, and how its attribute tokens and those above spoke in the sample."""
@@ -212,7 +246,7 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
         np.log1p(chars), np.log1p(own[:, 0]), links / np.maximum(chars, 1), stops / np.maximum(chars, 1), chars / tags, chars / np.maximum(runs, 1),
         np.log1p(tags), depth, place, place / np.maximum(below[up], 1), below[up], chars / np.maximum(chars[up], 1),
         chars / total, before / total, np.log1p(links[up]), links[up] / np.maximum(chars[up], 1), chars[up] / tags[up], headings, below, with_tokens,
-        speak, low, high, speak + low, np.log1p(chars[up]), np.log1p(stops),
+        speak, low, high, speak + low, np.log1p(chars[up]), np.log1p(stops), np.array(page.inline),
     ]
     return np.column_stack([*columns, group, above]).astype(np.float32)
 
@@ -255,7 +289,7 @@ class Extractor:
 
     def texts(self, sources: list[str]) -> list[str]:
         pages = [Page(s) for s in sources]
-        return [" ".join(run for v, run, _ in page.runs if stay[v]) for page, stay in zip(pages, self.kept(pages), strict=True)] if pages else []
+        return [page.text(stay) for page, stay in zip(pages, self.kept(pages), strict=True)] if pages else []
 
 
 def labelled(page: Page, weak: bool = False) -> tuple[Page, np.ndarray]:
@@ -287,6 +321,8 @@ OTHER_NAMES = {
     "comments": "comments comment comment-list responses replies discussion disqus comment-body reply thread reader-comments user-comments".split(),
     "share": "share social share-buttons social-links sharing follow toolbar actions".split(),
 }
+INLINE_ADS = "ad ads advert advertisement ad-slot adsense ad-container".split()
+ANY_NAMES = [*MAIN_NAMES, *WRAP_NAMES, *(n for names in OTHER_NAMES.values() for n in names if n not in INLINE_ADS)]
 SAID = "home about contact news sports login register search next previous read more share tweet subscribe privacy terms cookies accept reply like report sign up menu archive help".split()
 
 
@@ -329,12 +365,23 @@ def made_page(rng: random.Random, texts: list[str]) -> str:
             inner = rng.choice([say(), f"<p>{say()}</p>", f'<p>{say()[:150]}</p><a href="#">{few()}</a>', few()])
         return f'<{name}{a} data-y="0">{inner}</{name}>'
 
+    def within(sentence: str) -> str:
+        """The sentence with an element around some of its words, of whatever name, or with an advert put into it."""
+        words = sentence.split()
+        i = rng.randint(0, len(words))
+        if rng.random() < 0.3:
+            words.insert(i, f'<span class="{rng.choice(INLINE_ADS)}" data-y="0">{few()}</span>')
+        else:
+            j, name, tag = rng.randint(i, len(words)), rng.choice(ANY_NAMES), rng.choice(["span", "span", "a", "b", "em"])
+            words[i:j] = [f'<{tag} class="{name}{rng.choice(["", "", "-link", "-text"])}" data-y="1">{" ".join(words[i:j])}</{tag}>'] if j > i else []
+        return " ".join(words)
+
     def main() -> str:
         parts = []
         for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])):
             kind = rng.random()
             if kind < 0.72:
-                parts.append(f"<p>{rng.choice(['', '<b>', '<em>', '<a href=#>'])}{say()}{rng.choice(['', '<br>' + say()])}</p>")
+                parts.append(f"<p>{rng.choice(['', '<b>', '<em>', '<a href=#>'])}{within(say()) if rng.random() < 0.4 else say()}{rng.choice(['', '<br>' + say()])}</p>")
             elif kind < 0.8:
                 parts.append(f"<h{(k := rng.randint(2, 4))}>{few()}</h{k}><p>{say()}</p>")
             elif kind < 0.86:

@@ -104,7 +104,8 @@ def test_lines_go_on_through_what_is_not_shown():
     runs = lambda s: [r[1] for r in he.Page(s).runs]
     assert runs("<p>sub<script>x()</script>way <style>p{}</style>line</p>") == ["subway line"]
     assert runs("<p>a <span hidden>no <span>no</span> no</span>b <b style='display: none'>no</b>c</p>") == ["a b c"]
-    assert runs('<p>a <span class="ad-slot">buy</span>b <a class="address" id=x>c</a> <i class="overflow-hidden">d</i></p>') == ["a b c d"]
+    page = he.Page('<p>a <span class="ad-slot">buy</span>b <a class="address" id=x>c</a> <i class="overflow-hidden">d</i></p>')
+    assert page.runs[0][1] == "a " and page.text([True] * 5) == "a buyb c d" and page.text([True, True, False, True, True]) == "a b c d"
     assert runs("<div><p>a <span hidden>never closed</p><p>b</p></div><p>c") == ["a", "b", "c"]
     assert runs("<p>a <span hidden>no<p>b") == ["a", "b"]
 
@@ -140,3 +141,65 @@ def test_pages_written_by_hand(model, source, kept, gone):
     (text,) = model.texts([source])
     assert all(x in text for x in kept), text
     assert not any(x in text for x in gone), text
+
+
+A, B, C = [
+    "The mill by the river has ground corn for the village since the old king reigned, and its wheel still turns on most days of the year.",
+    "In spring the water stands so high that the miller opens both gates; in summer he waits for rain, and mends the sails of his brother's boat.",
+    "Visitors may see the stones and the great oak shaft, and buy a bag of flour at the door, which keeps for a month in a dry place.",
+]
+CASES = [
+    ('He won a <span class="promotion">promotion to manager</span> last year', "He won a promotion to manager last year"),
+    ('See <a class="sponsor-link">the sponsor of the race</a> in the text', "See the sponsor of the race in the text"),
+    ("Let <math><mi>x</mi>=5</math> be", "Let x=5 be"),
+    ("This is un<x-y>believ</x-y>able", "This is unbelievable"),
+    ("They say <ruby>kan<rt>ji</rt></ruby> here", "They say kanji here"),
+    ('a <span class="footer">word of note</span>, then', "a word of note, then"),
+    ('a <em id="menu">word</em>s', "a words"),
+    ('<b class="c">bold</b> <i class="d">then</i> plain', "bold then plain"),
+    ("one<!-- two --> three&nbsp;four &lt;five&gt;", "one three four <five>"),
+    ("one <span hidden>two </span>three", "one three"),
+    ("one<br>two", "one two"),
+    ("sub<wbr>way<script>x()</script> line", "subway line"),
+    ('<span class="outer">a <span>b</span> c</span> d', "a b c d"),
+    ('<a class="x" href="/y">never closed', "never closed"),
+    ("a </span>stray end", "a stray end"),
+    ("H<sub>2</sub>O and E=mc<sup>2</sup>", "H2O and E=mc2"),
+    ("&#x41;&amp;&eacute;", "A&é"),
+    ("tabs\t and\n lines\r\n", "tabs and lines"),
+    ('<unknown-thing class="comment">aside from that</unknown-thing> it works', "aside from that it works"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("line,want", CASES)
+def test_whole_text_of_a_page(model, line, want):
+    source = f"""<!DOCTYPE html><html><head><title>Mill</title></head><body><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li></ul></nav>
+<article class="post-content"><p>{A}</p><p>{B} {line}</p><p>{C}</p></article><footer class="footer">&copy; 2020 <a href="/p">Privacy</a></footer></body></html>"""
+    assert model.texts([source]) == [" ".join(f"{A} {B} {want} {C}".split())]
+
+
+def test_advert_within_a_line(model):
+    source = f'<html><body><article class="post-content"><p>{A}</p><p>{B} <span class="ad-slot">home news</span> {A}</p><p>{C}</p></article></body></html>'
+    assert model.texts([source]) == [f"{A} {B} {A} {C}"]
+
+
+def test_choice_down_the_tree_is_the_one_of_plain_recursion(model):
+    """kept() against a recursion over children: what a node is worth, and that nothing stays in what goes."""
+    rng = random.Random(11)
+    for _ in range(10):
+        page = he.Page(he.made_page(rng, [say(rng, 12) for _ in range(9)]))
+        x = he.features(page, model.odds)
+        own, children = np.clip(model.trees.logits(x), -6, 6), {}
+        for v, u in enumerate(page.parent):
+            children.setdefault(u, []).append(v)
+
+        def worth(v):
+            below = [(c, worth(c)) for c in children.get(v, [])]
+            return -99.0 if page.hidden[v] else own[v] + sum(w * min(1.0, x[c, 11]) for c, w in below if w > 0)
+
+        def staying(v):
+            return {v}.union(*(staying(c) for c in children.get(v, []) if worth(c) > 0))
+
+        (stay,) = model.kept([page])
+        assert {v for v, s in enumerate(stay) if s} == staying(0)
