@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -26,8 +27,41 @@ def divided(a: Column, b: Column, otherwise: float | Column = 0.0) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(otherwise)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x written and worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
+    """x at so many decimal digits, to the nearest by its exact binary value; even only where that lies in the middle: 0.15 is below it, and gives 0.1.
+
+    x * 10**digits is a double p and an exact remainder e, from the halves of x's bits. p's fraction against 0.5 decides, and e where that is even. From
+    2**52 on p has no fraction.
+    """
+    scale = float(10**digits)
+
+    def product(v: Column) -> Column:
+        high = v * 134217729.0
+        return F.struct(v.alias("v"), (v * scale).alias("p"), (high - (high - v)).alias("high"))
+
+    def rounded(x: Column) -> Column:
+        v, p, high = x["v"], x["p"], x["high"]
+        rest = (high * scale - p) + (v - high) * scale
+        whole = F.floor(p)
+        above = F.when((rest > 0) | (rest == 0) & (whole % 2 != 0), 1).otherwise(0)
+        up = F.when(p - whole > 0.5, 1).when(p - whole == 0.5, above).otherwise(0)
+        return F.when(F.abs(p) < 2.0**52, (whole + up) / F.lit(scale)).otherwise(v)
+
+    return let(let(x.cast("double"), product), rounded)
+
+
+def half_even_sql(x: str, digits: int) -> str:
+    """The same for DuckDB."""
+    scale = f"{10**digits}::DOUBLE"
+    product = f"{{'v': v, 'p': v * {scale}, 'h': v * 134217729::DOUBLE - (v * 134217729::DOUBLE - v)}}"
+    rest, frac = f"((r.h * {scale} - r.p) + (r.v - r.h) * {scale})", "(r.p - floor(r.p))"
+    up = f"CASE WHEN {frac} > 0.5 THEN 1 WHEN {frac} = 0.5 AND ({rest} > 0 OR {rest} = 0 AND floor(r.p) % 2 <> 0) THEN 1 ELSE 0 END"
+    return f"list_transform(list_transform([({x})::DOUBLE], lambda v: {product}), lambda r: CASE WHEN abs(r.p) < 4503599627370496 THEN (floor(r.p) + {up}) / {scale} ELSE r.v END)[1]"
 
 
 def whole_days(start: Column, end: Column) -> Column:

@@ -194,7 +194,7 @@ _MORE = {
     LEFT JOIN level_index b ON b.level = 'category_level_2' AND b.category = i.category_level_2 AND b.month = (6 + s.step) % 12 + 1
     LEFT JOIN level_index c ON c.level = 'category_top_level' AND c.category = i.category_top_level AND c.month = (6 + s.step) % 12 + 1""",
     "covered": """SELECT *, CASE WHEN v > 0 AND weeks < 2 THEN 'critical' WHEN v > 0 AND weeks < 4 THEN 'low' ELSE 'healthy' END AS stockout_risk FROM (
-    SELECT *, CASE WHEN v * 7 * x > 0 THEN least(52, round_even(left_over / (v * 7 * x), 1)) WHEN left_over > 0 THEN 52 ELSE 0 END::DOUBLE AS weeks FROM (
+    SELECT *, CASE WHEN v * 7 * x > 0 THEN least(52, half_even(left_over / (v * 7 * x), 1)) WHEN left_over > 0 THEN 52 ELSE 0 END::DOUBLE AS weeks FROM (
       SELECT *, greatest(0, stock - coalesce(sum(v * days * x) OVER (PARTITION BY item_id, shop_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS left_over FROM indexed))""",
 }
 

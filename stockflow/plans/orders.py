@@ -168,5 +168,5 @@ ORACLES = {
         **_MORE,
     ),
     "open_orders": over("SELECT order_id, shop_id, count(*) AS lines, sum(open_quantity) AS open_units, string_agg(line_no || ':' || item_id, ';' ORDER BY line_no, item_id) AS line_items FROM open_po GROUP BY ALL", **_MORE),
-    "receiving_started": over("SELECT sale_id, bool_or(num_received > 1) AS started, round_even(avg(num_received), 4) AS mean_received FROM latest_lines GROUP BY 1"),
+    "receiving_started": over("SELECT sale_id, bool_or(num_received > 1) AS started, half_even(avg(num_received), 4) AS mean_received FROM latest_lines GROUP BY 1"),
 }

@@ -186,8 +186,8 @@ ORACLES = {
         f"""SELECT item_id, CASE shop_id WHEN 0 THEN 'North' WHEN 1 THEN 'Centre' WHEN 2 THEN 'South' ELSE 'Shop ' || shop_id END AS location, round(v, 6) AS velocity, safety_stock, reorder_point, desired_level,
   greatest(0, trunc(desired_level - (greatest(on_hand, 0) + on_order)))::BIGINT AS qty_to_order, status, list_position(['critical', 'low', 'warning', 'healthy', 'incoming', 'on_target', 'high', 'overstock', 'no_demand'], status)::BIGINT AS status_rank,
   CASE status WHEN 'critical' THEN 5 WHEN 'low' THEN 4 WHEN 'warning' THEN 3 WHEN 'healthy' THEN 2 WHEN 'incoming' THEN 2 WHEN 'no_demand' THEN 0 ELSE 1 END::BIGINT AS urgency,
-  CASE WHEN on_hand < 0 THEN 'On hand is negative (' || on_hand || ') and counts as 0. ' ELSE '' END || {_REASON} AS status_reason, CASE WHEN v > 0 THEN round_even(greatest(on_hand, 0) / v, 1) ELSE 0 END::DOUBLE AS days_of_stock,
-  round_even(v_a * 14, 1) AS adjusted_14, round_even(v_b * 16, 1) AS adjusted_15_30, round_even(v_c * 30, 1) AS adjusted_31_60, round_even(v * 30, 1) AS adjusted_30, round_even(v * 60, 1) AS adjusted_60, {_MOMENTUM} AS momentum, change_needed FROM made_status""",
+  CASE WHEN on_hand < 0 THEN 'On hand is negative (' || on_hand || ') and counts as 0. ' ELSE '' END || {_REASON} AS status_reason, CASE WHEN v > 0 THEN half_even(greatest(on_hand, 0) / v, 1) ELSE 0 END::DOUBLE AS days_of_stock,
+  half_even(v_a * 14, 1) AS adjusted_14, half_even(v_b * 16, 1) AS adjusted_15_30, half_even(v_c * 30, 1) AS adjusted_31_60, half_even(v * 30, 1) AS adjusted_30, half_even(v * 60, 1) AS adjusted_60, {_MOMENTUM} AS momentum, change_needed FROM made_status""",
         **_MORE,
     ),
     "grid_filter": over(

@@ -102,7 +102,7 @@ ORACLES = {
     "best_vendors": over(
         """SELECT brand_name, shop_id, vendor_id, vendor_name, distinct_items, lead_time_days, lead_time_source, place FROM (
   SELECT *, row_number() OVER (PARTITION BY brand_name, shop_id ORDER BY lead_time_days ASC NULLS LAST, distinct_items DESC, vendor_id) AS place FROM (
-    SELECT b.*, s.shop_id, round_even(coalesce(l.lead_time_days, m.lead_time_days), 1) AS lead_time_days, CASE WHEN l.lead_time_days IS NOT NULL THEN 'store' WHEN m.lead_time_days IS NOT NULL THEN 'vendor_median' ELSE 'unknown' END AS lead_time_source
+    SELECT b.*, s.shop_id, half_even(coalesce(l.lead_time_days, m.lead_time_days), 1) AS lead_time_days, CASE WHEN l.lead_time_days IS NOT NULL THEN 'store' WHEN m.lead_time_days IS NOT NULL THEN 'vendor_median' ELSE 'unknown' END AS lead_time_source
     FROM brand_sources b CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS shop_id) s LEFT JOIN lead_times l ON l.vendor_id = b.vendor_id AND l.shop_id = s.shop_id LEFT JOIN medians m ON m.vendor_id = b.vendor_id)) WHERE place <= 3""",
         brand_sources=BRAND_VENDORS,
         medians=_MEDIANS,

@@ -2,6 +2,8 @@
 
 import re
 
+from ..functions.columns import half_even_sql
+
 VIEWS = {
     "items": """SELECT p_partkey + 1 AS item_id, p_partkey::VARCHAR AS sku, p_name AS description, p_brand AS brand, p_type AS category_top_level,
   p_type || '/' || p_brand AS category_level_2, p_type || '/' || p_brand || '/' || p_size AS category_path, p_size::BIGINT AS reorder_point, (p_size * 2)::BIGINT AS reorder_level FROM part""",
@@ -89,4 +91,16 @@ def over(sql: str, **more: str) -> str:
                 ordered.append(name)
 
     add(sql, ())
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in ordered) + "\n" + sql
+    return with_rounding("WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in ordered) + "\n" + sql)
+
+
+def with_rounding(sql: str) -> str:
+    """sql with half_even(x, digits) written out: DuckDB's own round_even rounds a product that has been rounded itself."""
+    while (start := sql.find("half_even(")) >= 0:
+        inner, depth, end = start + len("half_even("), 1, start + len("half_even(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x, digits = sql[inner : end - 1].rsplit(",", 1)
+        sql = sql[:start] + half_even_sql(x, int(digits)) + sql[end:]
+    return sql

@@ -153,7 +153,7 @@ _MORE = ORDERS | {
     "names": _NAMES,
     "keyed": "SELECT *, CASE flag WHEN 'none' THEN 'healthy' ELSE flag END AS sub_key FROM flagged",
     "best": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_name, shop_id ORDER BY lead ASC NULLS LAST, distinct_items DESC, vendor_id) AS place FROM (
-    SELECT b.*, s.shop_id, round_even(coalesce(l.lead_time_days, m.lead_time_days), 1) AS lead, CASE WHEN l.lead_time_days IS NOT NULL THEN 'store' WHEN m.lead_time_days IS NOT NULL THEN 'vendor_median' ELSE 'unknown' END AS source
+    SELECT b.*, s.shop_id, half_even(coalesce(l.lead_time_days, m.lead_time_days), 1) AS lead, CASE WHEN l.lead_time_days IS NOT NULL THEN 'store' WHEN m.lead_time_days IS NOT NULL THEN 'vendor_median' ELSE 'unknown' END AS source
     FROM brand_sources b CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS shop_id) s LEFT JOIN lead_times l ON l.vendor_id = b.vendor_id AND l.shop_id = s.shop_id LEFT JOIN medians m ON m.vendor_id = b.vendor_id)) WHERE place <= 3""",
     "candidates": """SELECT brand_name, shop_id, string_agg(vendor_id || ':' || CASE WHEN lead IS NOT NULL THEN trunc(lead)::BIGINT || ':' ELSE '' END || source, ';' ORDER BY place) AS vendors, lower(string_agg(vendor_name, ' ' ORDER BY place)) AS vendor_names FROM best GROUP BY ALL""",
     "enriched": """SELECT f.*, s.customer_name, i.description, i.brand, v.vendor_name, coalesce(c.vendors, '') AS vendors, coalesce(c.vendor_names, '') AS vendor_names FROM flagged f LEFT JOIN sales s USING (sale_id) LEFT JOIN items i USING (item_id)
