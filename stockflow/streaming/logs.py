@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.stores import Store
+
 SCHEMA = "event_id long, item_id long, shop_id long, qoh long, updated_time timestamp"
 
 
@@ -27,3 +29,13 @@ def changes_by_day(stream: DataFrame) -> DataFrame:
 def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Writes what is there and ends; the next call goes on from its checkpoint, so that nothing is written twice."""
     return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+
+
+def latest_into(stream: DataFrame, store: Store, checkpoint: str, table: str = "latest_stock") -> StreamingQuery:
+    """Keeps the newest row of each key of a stream in a table of the store; writes what is there and ends.
+
+    A batch's number stands in the record of the version that it makes. A batch that is run again, as its checkpoint was lost after the version was
+    claimed, changes nothing; one whose version wasn't claimed is written whole. Late rows lose against newer ones that are there.
+    """
+    write = lambda rows, number: store.merge(table, rows, batch=(table, number))
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()

@@ -59,14 +59,6 @@ def test_store(spark, tmp_path):
     for name in ("d3", "d1", "d9"):
         with pytest.raises(ValueError, match=name):
             store.start_push(name, at)
-    last, _ = store._current("po_drafts")
-    store._name("po_drafts", last + 1, f"po_drafts.v{last + 1}.0")  # another writer takes the next version
-    real = store._current
-    with pytest.raises(RuntimeError, match="another writer"):
-        calls = []
-        store._current = lambda name: calls.append(name) or ((last, "") if len(calls) == 1 else real(name))
-        store.replace("po_drafts", draft(("d4", 1, 0, "draft", None, at)))
-    store._current = real
     store.merge("overrides", spark.createDataFrame([("a", 1, 2, 3, True)], "sku string, location_id long, manual_reorder_point long, manual_desired_level long, locked boolean"), at)
     assert store.read("overrides").first().updated_at == at
     log = spark.createDataFrame([(str(i), at + timedelta(days=i), "s", 0, 1, 2, 3, 4, "success", None) for i in range(5)], stores.SCHEMAS["writeback_log"])
