@@ -27,8 +27,18 @@ def windowed_sales(sold: DataFrame, as_of: date, spans: tuple[int, ...] = (14, 3
 
     Days are summed first, so that days with sales are counted as rows and nothing is expanded.
     """
-    recent = sold.withColumn("day", F.to_date("complete_time")).where(F.col("day") >= F.lit(as_of - timedelta(days=max(spans) - 1)))
-    days = recent.groupBy(*PAIR, "day").agg(F.sum("quantity").alias("units"))
+    return windows_of_days(daily_units(sold, as_of - timedelta(days=max(spans) - 1)), as_of, spans)
+
+
+def daily_units(sold: DataFrame, first: date, last: date | None = None) -> DataFrame:
+    """(item_id, shop_id, day, units) of the days with sales, from first on."""
+    rows = sold.withColumn("day", F.to_date("complete_time")).where(F.col("day") >= F.lit(first))
+    rows = rows.where(F.col("day") <= F.lit(last)) if last else rows
+    return rows.groupBy(*PAIR, "day").agg(F.sum("quantity").alias("units"))
+
+
+def windows_of_days(days: DataFrame, as_of: date, spans: tuple[int, ...]) -> DataFrame:
+    """windowed_sales of daily_units."""
     within = {n: F.col("day") >= F.lit(as_of - timedelta(days=n - 1)) for n in spans}
     units = [F.sum(F.when(within[n], F.col("units")).otherwise(0.0)).alias(f"units_{n}") for n in spans]
     return days.groupBy(*PAIR).agg(*units, *(F.count_if(within[n]).alias(f"sale_days_{n}") for n in spans))

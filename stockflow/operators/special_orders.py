@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import ordered_case
 from .grid import searched
@@ -137,20 +137,28 @@ def _key(c: str) -> Column:
     return F.lower(F.trim(c))
 
 
+def keyed_orders(orders: DataFrame) -> DataFrame:
+    """(k_email, k_sku, order_id, order_name, eta) of open web orders, distinct; name and eta are the order's own, whatever its lines say. What all matching starts from."""
+    own = Window.partitionBy("order_id")
+    rows = orders.withColumns({"k_email": _key("email"), "k_sku": F.trim("sku")}).where("k_sku <> ''")
+    return rows.select("k_email", "k_sku", "order_id", F.min("order_name").over(own).alias("order_name"), F.min("eta").over(own).alias("eta")).distinct()
+
+
 def _keyed(orders: DataFrame) -> DataFrame:
-    return orders.withColumns({"k_email": _key("email"), "k_sku": F.trim("sku")}).where("k_sku <> ''")
+    return orders if "k_sku" in orders.columns else keyed_orders(orders)
 
 
 def _candidates(orders: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct orders of each key: their number, and the least of them."""
-    return orders.select(*keys, "order_id").distinct().groupBy(*keys).agg(F.count("*").alias("n"), F.min("order_id").alias("first"))
+    """Distinct orders of each key: their number, and the least of them with its name and promised date."""
+    facts = F.struct("order_id", "order_name", "eta")
+    return orders.select(*keys, "order_id", "order_name", "eta").distinct().groupBy(*keys).agg(F.count("*").alias("n"), F.min(facts).alias("first"))
 
 
 def with_keys(rows: DataFrame, orders: DataFrame) -> DataFrame:
-    """rows (customer_email, system_sku) with web_match, web_order_id, web_order_name, eta, n_candidates, k_email and k_sku.
+    """rows (customer_email, system_sku) with web_match, web_order_id, web_order_name, eta, n_candidates, k_email and k_sku. orders: open ones, or those of keyed_orders.
 
     Orders of the same email and sku are candidates; without an email, or if there are none, those of the sku. One candidate is a
-    match, several are ambiguous. Each key is one row of a count and a least id before it is joined, so no row is paired with single
+    match, several are ambiguous. Each key is one row of a count and a least order before it is joined, so no row is paired with single
     orders, and no list of orders is made. k_email and k_sku are the key that a row's candidates have: k_email is null where those of
     the sku are meant, k_sku where there are none.
     """
@@ -160,29 +168,29 @@ def with_keys(rows: DataFrame, orders: DataFrame) -> DataFrame:
     rows = rows.withColumns({"k_email": _key("customer_email"), "k_sku": F.trim("system_sku")})
     rows = rows.join(both, ["k_email", "k_sku"], "left").join(alone, "k_sku", "left")
     rows = rows.withColumns({"n_candidates": F.coalesce("n2", "n1", F.lit(0)), "only": F.coalesce("first2", "first1")})
-    n = F.col("n_candidates")
-    rows = rows.withColumns({"web_match": F.when(n == 0, "none").when(n == 1, "matched").otherwise("ambiguous"), "web_order_id": F.when(n == 1, F.col("only"))})
+    n, match = F.col("n_candidates"), lambda c: F.when(F.col("n_candidates") == 1, F.col("only")[c])
+    rows = rows.withColumns({"web_match": F.when(n == 0, "none").when(n == 1, "matched").otherwise("ambiguous"), "web_order_id": match("order_id"), "web_order_name": match("order_name"), "eta": match("eta")})
     rows = rows.withColumns({"k_email": F.when(F.col("n2").isNotNull(), F.col("k_email")), "k_sku": F.when(n > 0, F.col("k_sku"))})
-    facts = orders.groupBy(F.col("order_id").alias("web_order_id")).agg(F.min("order_name").alias("web_order_name"), F.min("eta").alias("eta"))
-    return rows.drop("n1", "n2", "first1", "first2", "only").join(facts, "web_order_id", "left")
+    return rows.drop("n1", "n2", "first1", "first2", "only")
 
 
 def with_match(rows: DataFrame, orders: DataFrame) -> DataFrame:
     """with_keys' rows with the list of their candidates in place of the keys: for a look at a few rows, as a list holds all orders of its key."""
     rows, orders = with_keys(rows, orders), _keyed(orders)
     wanted = rows.select("k_email", "k_sku").where("k_sku is not null").distinct()
-    lists = of_keys(orders, wanted).groupBy("k_email", "k_sku").agg(F.sort_array(F.collect_set("order_id")).alias("candidates"))
+    lists = of_keys(orders.select("k_email", "k_sku", "order_id"), wanted).groupBy("k_email", "k_sku").agg(F.sort_array(F.collect_set("order_id")).alias("candidates"))
     lists = lists.select(F.col("k_email").alias("l_email"), F.col("k_sku").alias("l_sku"), "candidates")
     rows = rows.join(lists, F.col("k_email").eqNullSafe(F.col("l_email")) & (F.col("k_sku") == F.col("l_sku")), "left")
     return rows.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<bigint>"))).drop("n_candidates", "k_email", "k_sku", "l_email", "l_sku")
 
 
 def of_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k_email, k_sku, order_id and what else keys has): the orders of each distinct key; an order has two keys at most, its own and that of its sku."""
-    more = [c for c in keys.columns if c not in ("k_email", "k_sku")]
-    both = keyed.join(keys.where("k_email is not null"), ["k_email", "k_sku"]).select("k_email", "k_sku", "order_id", *more)
-    alone = keyed.drop("k_email").join(keys.where("k_email is null").drop("k_email"), "k_sku").select(F.lit(None).cast("string").alias("k_email"), "k_sku", "order_id", *more)
-    return both.unionByName(alone)
+    """(k_email, k_sku, order_id and what else keys has): the orders of each distinct key; an order has two keys at most, its own and that of its sku, without an email."""
+    more = [F.col(f"asked.{c}") for c in keys.columns if c not in ("k_email", "k_sku")]
+    own = F.explode(F.array_distinct(F.array("k_email", F.lit(None).cast("string")))).alias("k_email")
+    given = keyed.select(own, "k_sku", "order_id").alias("given")
+    same = F.col("given.k_email").eqNullSafe(F.col("asked.k_email")) & (F.col("given.k_sku") == F.col("asked.k_sku"))
+    return given.join(keys.alias("asked"), same).select("given.k_email", "given.k_sku", "given.order_id", *more)
 
 
 def consumed(rows: DataFrame, orders: DataFrame) -> DataFrame:

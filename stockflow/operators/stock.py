@@ -42,7 +42,11 @@ def days_without_stock(log: DataFrame, as_of: date, spans: tuple[int, ...], long
     Days before the first change within the longest span are unknown and don't count.
     """
     longest = longest or max(spans)
-    changes = last_of_day(log, as_of - timedelta(days=longest - 1), as_of)
+    return out_of_days(last_of_day(log, as_of - timedelta(days=longest - 1), as_of), as_of, spans)
+
+
+def out_of_days(changes: DataFrame, as_of: date, spans: tuple[int, ...]) -> DataFrame:
+    """days_without_stock of last_of_day."""
     until = F.coalesce(F.lead("day").over(Window.partitionBy(*PAIR).orderBy("day")), F.lit(as_of + timedelta(days=1)))
     stretches = changes.withColumn("until", until)
 

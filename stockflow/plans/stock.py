@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,7 +10,7 @@ from ..operators import demand, replenishment as rp, stock
 from ..operators.lead_times import median_lead_times, with_lead_time
 from ..operators.versions import latest_version
 from ..sources import tables as t
-from ..sources.kept import kept
+from ..sources.kept import Days, kept, place_of, state_of
 from .views import STATUS, over
 
 SPANS = (14, 30, 60)
@@ -55,12 +55,21 @@ def item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What has no sales or no changes counts as 0.
     """
+    return metrics_with(spark, sf_dir, windowed_sales(spark, sf_dir), stock.days_without_stock(target_log(spark, sf_dir), t.AS_OF, SPANS))
+
+
+def target_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.stock_log(spark, sf_dir).where(F.col("shop_id").isin(*t.TARGET_SHOPS))
+
+
+def metrics_with(spark: SparkSession, sf_dir: str, sold: DataFrame, out: DataFrame) -> DataFrame:
+    """item_metrics with given sales and days without stock."""
     pair = stock.PAIR
-    log, lines = t.stock_log(spark, sf_dir).where(F.col("shop_id").isin(*t.TARGET_SHOPS)), t.sale_lines(spark, sf_dir)
+    log, lines = target_log(spark, sf_dir), t.sale_lines(spark, sf_dir)
     own = lines.groupBy("item_id").agg(F.min("vendor_id").alias("vendor_id"))
     on_order = demand.open_purchase_units(latest_lines(spark, sf_dir), t.sales(spark, sf_dir))
     rows = stock.current_levels(log).join(t.items(spark, sf_dir), "item_id").join(own, "item_id", "left").join(on_order, pair, "left")
-    rows = rows.join(windowed_sales(spark, sf_dir), pair, "left").join(stock.days_without_stock(log, t.AS_OF, SPANS), pair, "left")
+    rows = rows.join(sold, pair, "left").join(out, pair, "left")
     counts = [f"{c}_{n}" for c in ("units", "sale_days", "days_out_of_stock") for n in SPANS]
     return rows.select(
         *pair, "sku", "description", "brand", "category_top_level", "category_path", "vendor_id", F.col("qoh").alias("on_hand"), F.coalesce("po_units", F.lit(0.0)).alias("on_order"),
@@ -68,6 +77,25 @@ def item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INPUTS = ("part", "orders", "customer", "nation", "lineitem", "supplier", "events")
+
+
+def days_of(spark: SparkSession, sf_dir: str, as_of: date) -> tuple[DataFrame, DataFrame]:
+    """Units sold, and last levels, of each of the days that as_of looks back on: from tables with a folder for each day, of which only missing days are made."""
+    inputs = [f"{sf_dir}/{name}.parquet" for name in INPUTS]
+    first, state = as_of - timedelta(days=max(SPANS) - 1), state_of(spark, inputs)
+    table = lambda name: Days(spark, place_of(spark, "days", name, inputs), state)
+    units = table("units").read(first, as_of, lambda a, b: demand.daily_units(demand.sold_lines(tagged_lines(spark, sf_dir), t.sales(spark, sf_dir)), a, b))
+    levels = table("levels").read(first, as_of, lambda a, b: stock.last_of_day(target_log(spark, sf_dir), a, b))
+    return units, levels
+
+
+def metrics_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_metrics from daily tables: another as-of date makes the days that it adds."""
+    units, levels = days_of(spark, sf_dir, t.AS_OF)
+    return metrics_with(spark, sf_dir, demand.windows_of_days(units, t.AS_OF, SPANS), stock.out_of_days(levels, t.AS_OF, SPANS))
+
+
 def unified_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shops, over 60 days before as_of and as_of itself; all versions of lines count."""
     days, pair = 61, stock.PAIR
@@ -127,7 +155,7 @@ def routed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By default settings. Metrics and velocities are a table that is kept, so that grids, orders and logs don't compute them again."""
-    inputs = [f"{sf_dir}/{name}.parquet" for name in ("part", "orders", "customer", "nation", "lineitem", "supplier", "events")]
+    inputs = [f"{sf_dir}/{name}.parquet" for name in INPUTS]
     return rp.planned(kept(spark, "velocities", inputs, lambda: rp.velocities(routed_metrics(spark, sf_dir))))
 
 
@@ -171,7 +199,7 @@ def adjusted_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        recommendations, latest_sale_lines, daily_stock_levels, stockout_days, stockout_changes, windowed_sales, item_metrics, unified_metrics, sales_history, stock_and_orders,
+        recommendations, latest_sale_lines, daily_stock_levels, stockout_days, stockout_changes, windowed_sales, item_metrics, metrics_of_days, unified_metrics, sales_history, stock_and_orders,
         raw_and_deduplicated, qualification_counts, guarded_velocity, status_counts, momentum_counts, overridden, adjusted_demand,
     )
 }
@@ -222,6 +250,7 @@ ORACLES = {
     ),
     "windowed_sales": over("SELECT * FROM windowed"),
     "item_metrics": over("SELECT * FROM metrics"),
+    "metrics_of_days": over("SELECT * FROM metrics"),
     "unified_metrics": over(
         """SELECT c.item_id, c.shop_id, coalesce(u.units_sold, 0) AS units_sold, coalesce(d.n, 0) AS days_out_of_stock, c.qoh AS current_qoh, i.reorder_point, i.reorder_level
   FROM current_levels c LEFT JOIN (SELECT item_id, shop_id, sum(quantity) AS units_sold FROM sale_lines JOIN sales USING (sale_id) WHERE completed AND NOT voided AND complete_time::DATE >= DATE '2001-06-02' GROUP BY ALL) u USING (item_id, shop_id)
