@@ -130,10 +130,10 @@ class Finder:
             yield low, high
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items that have a character, in blocks of about block_chars characters, dealt by hash: the driver holds a block at a time."""
+def item_blocks(benchmark: DataFrame, block_chars: int, least: int = 1) -> Iterator[list[tuple[int, str]]]:
+    """The items of `least` characters or more, by their plain text, in blocks of about block_chars characters, dealt by hash: the driver holds a block at a time."""
     schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
-    rows = lambda batch: ((i, text) for i, text in zip(batch.column(0).to_pylist(), map(plain, batch.column(1).to_pylist()), strict=True) if text)
+    rows = lambda batch: ((i, text) for i, text in zip(batch.column(0).to_pylist(), map(plain, batch.column(1).to_pylist()), strict=True) if len(text) >= max(1, least))
     items = common.written(common.map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), schema, rows, lambda r: 50 + 4 * len(r[1])), "benchmark-items")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-chars // block_chars)
@@ -152,15 +152,15 @@ def finder(name: str, block: Broadcast, rate: float) -> Finder:
     return FINDERS[name]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, least: int = 1) -> DataFrame:
     """LEAK for each document (doc_id, text) and item (item_id, text) of which it holds a stretch within the item's edit budget.
 
     Letters are lowered and white space is one space, in both; the budget is rate times the item's length. Items under SHORTEST characters are found
-    as they are, as whole words, without edits; those without a character aren't looked for. Each document is read once for a block of items of
+    as they are, as whole words, without edits; those without a character, or with fewer than `least`, aren't looked for. Each document is read once for a block of items of
     bounded size, whole, whatever its length; no document meets another. Null and empty texts have no leak. Rows of an item_id that recur count each.
     """
     found = []
-    for block in item_blocks(benchmark, block_chars):
+    for block in item_blocks(benchmark, block_chars, least):
         given = docs.sparkSession.sparkContext.broadcast(block)
 
         def rows(batch: pa.RecordBatch, name=uuid.uuid4().hex, given=given) -> Iterator[tuple]:
@@ -174,14 +174,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], LEAK)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = SHORTEST) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = 1) -> DataFrame:
     """Rows (doc_id, text, and any others) but those of documents with a leak; rows of one doc_id stay or go together.
 
-    Items under `least` characters, single words and figures, stand in clean documents too, so that they take none away; leaks() reports them.
+    Where a benchmark has items that stand in clean documents too, single words and figures, `least` tells how many characters, as plain() gives them, one
+    has to have to take a document away. Unless given, all do.
     """
     gone = common.fresh("gone", docs.columns)
-    told = benchmark.where(F.length("text") >= least)
-    rejected = leaks(docs, told, rate).select(F.col("doc_id").alias(gone)).distinct()
+    rejected = leaks(docs, benchmark, rate, least=least).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[gone]), "left_anti")
 
 

@@ -122,15 +122,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        lately: OrderedDict[int, np.ndarray] = OrderedDict()
+        lately: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
 
         def items(doc_id: int, text: pa.StringScalar) -> np.ndarray:
-            if doc_id not in lately:
-                lately[doc_id] = shingles(text.as_py(), words)
+            key = doc_id, xxhash.xxh3_64_intdigest(text.as_buffer() or b"")  # rows of one doc_id may have other texts
+            if key not in lately:
+                lately[key] = shingles(text.as_py(), words)
                 if len(lately) > 16:
                     lately.popitem(last=False)
-            lately.move_to_end(doc_id)
-            return lately[doc_id]
+            lately.move_to_end(key)
+            return lately[key]
 
         for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             x, y = items(a, text_a), items(b, text_b)
@@ -204,6 +205,14 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a row once that comes several times, so that k rows don't meet m as k * m pairs. Only rows of ids that recur are exchanged for it."""
+    recurring = common.written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "recurring")
+    if recurring.isEmpty():
+        return docs
+    return docs.join(recurring, "doc_id", "left_anti").unionByName(common.written(docs.join(recurring, "doc_id", "left_semi").distinct(), "once"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row (doc_id, text).
 
@@ -218,6 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select("doc_id", "text")
     found = common.written(sketches(docs, words), "sketches")
+    docs = without_repeats(docs, found)
     useful = found.where("n_shingles > 0 and doc_id is not null")
     classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "n_shingles"), "doc_id").alias("own"))
     classes = common.written(classes.select("digest", "rep", "own.bands", "own.n_shingles"), "classes")

@@ -109,7 +109,7 @@ class Encoder:
                 ids = np.array(ids, self.kind)
                 edges = np.append(np.flatnonzero(self.starts[ids]), len(ids))
                 if len(edges) != len(part) + 1:
-                    raise ValueError("the tokenizer doesn't begin each word at its space")
+                    continue  # this tokenizer doesn't begin each word at its space: one by one, then
                 self.words.update(zip(map(str.encode, part), self.keep(ids, np.diff(edges)), strict=True))
         for w in words:
             if w not in self.words:

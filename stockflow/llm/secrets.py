@@ -94,16 +94,17 @@ def with_spans(docs: DataFrame, name: str = "found", **options) -> DataFrame:
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with MASK for each stretch that spans cover."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    """The text with MASK for each stretch that spans cover. Its pieces are joined once."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(so_far: Column, x: Column) -> Column:
         fresh = x["start"] >= so_far["at"]
         gap = F.substring(text, (so_far["at"] + 1).cast("int"), F.greatest(x["start"] - so_far["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(so_far["out"], gap, F.lit(MASK))).otherwise(so_far["out"])
+        out = F.when(fresh, F.array_append(so_far["out"], F.concat(gap, F.lit(MASK)))).otherwise(so_far["out"])
         return F.struct(out.alias("out"), F.greatest(x["end"], so_far["at"]).alias("at"))
 
-    return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    rest = lambda s: F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
+    return F.aggregate(found, start, step, lambda s: F.array_join(F.array_append(s["out"], rest(s)), ""))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

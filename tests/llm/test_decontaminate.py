@@ -66,9 +66,12 @@ def test_against_the_whole_table(spark):
                     want[d, i] = 0
         assert got == want and len(want) > 15
     assert {len(dc.plain(t)) for i, t in items if any(k[1] == i for k in want)} & {1, 2, 5, 11, 19}
-    gone = {d for d, i in want if len(dict(items)[i]) >= dc.SHORTEST}
-    left = dc.without_leaks(table, benchmark)
-    assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - gone
+    benchmark = benchmark.unionByName(spark.createDataFrame([(999, "  o  " + " " * 40, 1)], "item_id long, text string, doc_id int"))  # one character, however long it is as it stands
+    short = {d for d, text in docs if re.search(r"(?<!\w)o(?!\w)", dc.plain(text))}
+    for least, also in ((1, short), (20, set())):
+        gone = {d for d, i in want if len(dc.plain(dict(items)[i])) >= least} | also
+        left = dc.without_leaks(table, benchmark, least=least)
+        assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - gone
 
 
 def test_empty_tables(spark):

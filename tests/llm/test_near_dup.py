@@ -115,3 +115,19 @@ def test_sketch_estimates_likeness(n):
         true = len(np.intersect1d(x[:n], x[n - both :])) / len(np.union1d(x[:n], x[n - both :]))
         share.append((a == b).mean() - true)
     assert abs(np.mean(share)) < 0.05
+
+
+def test_ids_that_recur_with_unlike_texts(spark, monkeypatch):
+    """Rows of one id: copies of each other, and others unlike them. Each text counts, none as many times as it comes."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    one, two, other = (" ".join(rng.choices(words, k=80)) for _ in range(3))
+    near = lambda t: t + " end"
+    rows = [(1, one)] * 30 + [(1, other)] * 30 + [(2, near(one))] * 30 + [(3, near(other)), (4, two), (5, near(two)), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
+    asked = []
+    real = nd.confirmed
+    monkeypatch.setattr(nd, "confirmed", lambda pairs, docs, *more: asked.append(docs.count()) or real(pairs, docs, *more))
+    got = nd.near_duplicates(docs, 2).collect()
+    assert len(got) == len(rows) and set(asked) == {8}
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, None)}
