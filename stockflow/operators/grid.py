@@ -42,6 +42,32 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def after(keys: list[tuple[Column, bool]], last: list[object]) -> Column:
+    """True of rows that come after one with the keys `last`, in the order of keys, (column, descending); false or null of others. Nulls come last upwards and first downwards.
+
+    It compares keys from the first on: later in one, and equal in those before it. Equality and comparison with a value are what a Parquet scan can skip by.
+    """
+    either, equal = F.lit(False), F.lit(True)
+    for (x, descending), value in zip(keys, last, strict=True):
+        if descending:
+            later = x.isNotNull() if value is None else x < F.lit(value)
+        else:
+            later = F.lit(False) if value is None else x.isNull() | (x > F.lit(value))
+        either = either | equal & later
+        equal = equal & (x.isNull() if value is None else x == F.lit(value))
+    return either
+
+
+def seek_page(rows: DataFrame, keys: list[tuple[str, bool]], last: list[object] | None = None, size: int = 50) -> DataFrame:
+    """The page that follows a row with the keys `last`, or the first: whatever comes before it is neither sorted nor skipped over, however far in the list the page is.
+
+    keys: (column, descending), which together tell rows apart. Text stands by its bytes.
+    """
+    order = [F.col(c).desc_nulls_first() if descending else F.col(c).asc_nulls_last() for c, descending in keys]
+    rows = rows if last is None else rows.where(after([(F.col(c), d) for c, d in keys], last))
+    return rows.orderBy(*order).limit(size)
+
+
 def active_filter(tiles: dict[str, dict[str, Column]], active: dict[str, list[str]]) -> Column:
     """Any of the active tiles of a group, in all groups."""
     return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (tiles[g][t] for t in names)) for g, names in active.items() if names), F.lit(True))

@@ -21,6 +21,23 @@ def forward_fill(rows: DataFrame, keys: list[str], order: list[Column], value: s
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(so_far))
 
 
+def forward_fill_in_ranges(rows: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
+    """forward_fill by one whole number or date, for series that are too long for a task: a series is cut into ranges of `span` of order, or days.
+
+    Each range's last known value goes, by a window over ranges only, to the ranges after it, and fills what stands before their own first one. A task
+    sorts a range, and a row for each range of a series. Values of one place should be alike.
+    """
+    place = F.datediff(order, F.lit(date(1970, 1, 1))) if dict(rows.dtypes)[order] == "date" else F.col(order)
+    cut = rows.withColumn("fill_range", F.floor(place / span))
+    ends = cut.groupBy(*keys, "fill_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("fill_last"))
+    before = Window.partitionBy(*keys).orderBy("fill_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(k).alias(f"fill_{k}") for k in keys), F.col("fill_range").alias("fill_at"), F.last("fill_last", ignorenulls=True).over(before).alias("fill_from"))
+    same = [F.col(k).eqNullSafe(F.col(f"fill_{k}")) for k in keys] + [F.col("fill_range") == F.col("fill_at")]
+    within = Window.partitionBy(*keys, "fill_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = cut.join(ends, same).withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(within), "fill_from"))
+    return filled.select(*rows.columns)
+
+
 def last_of_day(log: DataFrame, first: date, last: date) -> DataFrame:
     """(item_id, shop_id, day, qoh): the last known quantity of each day with a change. Tasks keep one row per day before the shuffle."""
     day = F.to_date("updated_time")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import forecasting as fc, grid, lead_times as lt, purchasing, sourcing, special_orders as so
+from ..operators import forecasting as fc, grid, lead_times as lt, purchasing, sourcing, special_orders as so, stock
 from ..sources import stores, tables as t
+from ..sources.kept import kept, newest_snapshot
 from . import orders as po, vendors
 from .forecasts import _MORE as FORECASTS, cover, profiles, top_history
 from .orders import _MORE as ORDERS, flagged, open_lines
@@ -138,10 +141,35 @@ def item_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.to_json(F.sort_array(F.collect_list("shop"))).alias("shops"))  # a few shops for each item
 
 
+def sought_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty special orders that follow one of a given expected date and id."""
+    keys = [("expected_date", False), ("special_order_id", False)]
+    return grid.seek_page(flagged(spark, sf_dir), keys, [date(1998, 3, 1), 0], 30).select("special_order_id", "expected_date")
+
+
+def newest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day of the stock log's daily levels, from a table with a folder for each day."""
+    table = kept(spark, "daily-levels", [f"{sf_dir}/events.parquet"], lambda: stock.last_of_day(t.stock_log(spark, sf_dir), date(1900, 1, 1), date(2100, 1, 1)), partition_by="day")
+    return newest_snapshot(table, "day").select("day", "item_id", "shop_id", "qoh")
+
+
+def units_of_shops(spark: SparkSession, sf_dir: str, shops: tuple[int, ...] = t.TARGET_SHOPS, since: date = date(2001, 1, 1), statuses: tuple[str, ...] = ("F", "P")) -> DataFrame:
+    """Units by item and shop, by SQL with parameters that are bound: an array of shops, an array of statuses, a date."""
+    sql = """SELECT item_id, shop_id, sum(quantity) AS units, count(*) AS lines FROM {lines} JOIN {sales} USING (sale_id)
+             WHERE array_contains(CAST(:shops AS ARRAY<BIGINT>), shop_id) AND array_contains(:statuses, status) AND complete_time >= :since GROUP BY item_id, shop_id"""
+    args = {"shops": F.array(*map(F.lit, shops)), "statuses": F.array(*map(F.lit, statuses)), "since": since}
+    return spark.sql(sql, args=args, lines=t.sale_lines(spark, sf_dir), sales=t.sales(spark, sf_dir))
+
+
+def item_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item its ids in shops, as JSON, and that in shop 1."""
+    return t.item_shops(spark, sf_dir).select("item_id", "sku", F.coalesce(F.to_json("shops"), F.lit("{}")).alias("shops"), F.try_element_at("shops", F.lit(1).cast("long")).alias("in_shop_1"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        triage, triage_counts, enriched_orders, order_search, live_orders, tagged_web_orders, all_web_orders, vendors_by_name, soonest_stockouts, largest_profiles, top_categories, promised_first, dated_page, undated_page,
+        sought_page, newest_levels, units_of_shops, item_relations, triage, triage_counts, enriched_orders, order_search, live_orders, tagged_web_orders, all_web_orders, vendors_by_name, soonest_stockouts, largest_profiles, top_categories, promised_first, dated_page, undated_page,
         overrides_by_key, managed_scan, drafts_with_lines, open_orders_of, item_debug,
     )
 }
@@ -175,6 +203,11 @@ def _debug() -> str:
 
 
 ORACLES = {
+    "sought_page": over("SELECT special_order_id, expected_date FROM flagged WHERE expected_date > DATE '1998-03-01' OR expected_date IS NULL OR expected_date = DATE '1998-03-01' AND special_order_id > 0 ORDER BY expected_date ASC NULLS LAST, special_order_id LIMIT 30", **_MORE),
+    "newest_levels": over("SELECT updated_time::DATE AS day, item_id, shop_id, qoh FROM stock_log WHERE updated_time::DATE = (SELECT max(updated_time::DATE) FROM stock_log) QUALIFY row_number() OVER (PARTITION BY item_id, shop_id ORDER BY updated_time DESC, event_id DESC) = 1"),
+    "units_of_shops": over("SELECT item_id, shop_id, sum(quantity) AS units, count(*) AS lines FROM sale_lines JOIN sales USING (sale_id) WHERE shop_id IN (0, 1, 2) AND status IN ('F', 'P') AND complete_time >= DATE '2001-01-01' GROUP BY ALL"),
+    "item_relations": over("""SELECT item_id, sku, '{' || coalesce(string_agg('"' || shop_id || '":' || (item_id * 10 + shop_id), ',' ORDER BY shop_id), '') || '}' AS shops, max(CASE WHEN shop_id = 1 THEN item_id * 10 + 1 END) AS in_shop_1
+  FROM items LEFT JOIN (SELECT DISTINCT item_id, shop_id FROM stock_log) USING (item_id) GROUP BY item_id, sku"""),
     "triage": over("SELECT special_order_id, k.stage, flag, k.sub_key, coalesce(label, 'Healthy') AS label, coalesce(tone, 'ok') AS tone FROM keyed k LEFT JOIN names n ON n.stage = k.stage AND n.sub_key = k.sub_key", **_MORE),
     "triage_counts": over("SELECT n.stage, n.sub_key, n.label, count(k.sub_key) AS n FROM names n LEFT JOIN keyed k ON n.stage = k.stage AND n.sub_key = k.sub_key GROUP BY ALL", **_MORE),
     "enriched_orders": over("SELECT special_order_id, customer_name, customer_email, description, brand, shop_id, vendor_name, quantity, po_id, age_days, expected_date, web_order_name, vendors FROM enriched", **_MORE),

@@ -45,8 +45,8 @@ def place_of(spark: SparkSession, kind: str, name: str, inputs: list[str]) -> st
     return f"{shared_dir(spark)}/stockflow-{kind}/{name}-{hashlib.sha256(json.dumps(sorted(inputs)).encode()).hexdigest()[:20]}"
 
 
-def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], max_age: float = MAX_AGE) -> DataFrame:
-    """build()'s rows as a table: written if there is none yet, if a file of inputs has changed, or if it is older than max_age seconds.
+def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], max_age: float = MAX_AGE, partition_by: str | None = None) -> DataFrame:
+    """build()'s rows as a table, with a folder for each value of a column if one is given: written if there is none yet, if a file of inputs has changed, or if it is older than max_age seconds.
 
     What is kept is told by a version file in the shared folder (commits.Commits), so that every driver sees it; of two that build at once the second takes the first one's table. The
     table before the newest stays for those who read it, older ones go. If building fails, a table that is too old, but of the same inputs, is read with a warning.
@@ -57,7 +57,7 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     if record.get("state") != state or time.time() - record["at"] > max_age:
         try:
             rows, path = build(), f"{place}/{uuid.uuid4().hex}"
-            rows.write.parquet(path)
+            rows.write.partitionBy(*([partition_by] if partition_by else [])).parquet(path)
         except Exception:
             if record.get("state") != state:
                 raise
@@ -75,6 +75,13 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     return spark.read.schema(T.StructType.fromJson(json.loads(record["schema"]))).parquet(record["path"])
 
 
+def newest_snapshot(table: DataFrame, day: str) -> DataFrame:
+    """The rows of the last day of a table with a folder for each: the day is told by the folders' names, and no other folder is read."""
+    paths = {f.rsplit(f"/{day}=", 1)[1].split("/")[0] for f in table.inputFiles()}
+    days = sorted(d for d in paths if d != "__HIVE_DEFAULT_PARTITION__")
+    return table.where(F.col(day) == F.lit(days[-1]).cast("date")) if days else table.where("false")
+
+
 class Days:
     """A table in the shared folder with a folder for each day, so that a day that is there is not made again.
 

@@ -159,3 +159,11 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sku",
         "voided",
     )
+
+
+def item_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, sku, shops): of each item a map from shop to the id that the item has there. It has an entry for each shop that the item was ever counted in, a few."""
+    own = stock_log(spark, sf_dir).select("item_id", "shop_id").distinct()
+    entry = F.struct("shop_id", (F.col("item_id") * 10 + F.col("shop_id")).alias("item_shop_id"))
+    maps = own.groupBy("item_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("shops"))
+    return items(spark, sf_dir).select("item_id", "sku").join(maps, "item_id", "left")
