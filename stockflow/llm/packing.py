@@ -322,13 +322,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     """
     found = common.written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan, width = Plan(make_plan(counts, capacity)), encoder(tokenizer).kind
+    plan = Plan(make_plan(counts, capacity))
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, start, length, crc, tokens, ids, rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for shift, part, sequence, offset in plan.places(length, rank):
                 if part < length:
-                    own = np.frombuffer(ids, width)[shift : shift + part]
+                    own = np.frombuffer(ids, f"<u{len(ids) // length}")[shift : shift + part]  # 2 or 4 bytes an id, as Encoder.kind has it
                     yield doc_id, start + shift, part, zlib.crc32(own.astype("<u4").tobytes()), tokens, sequence, offset, own.tobytes()
                 else:
                     yield doc_id, start, length, crc, tokens, sequence, offset, ids
