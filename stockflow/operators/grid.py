@@ -26,6 +26,11 @@ def chosen(rows: DataFrame, choices: dict[str, object]) -> DataFrame:
     return rows
 
 
+def ticked(rows: DataFrame, flags: dict[str, bool]) -> DataFrame:
+    """Rows in which every flag that is ticked holds; one that isn't ticked chooses nothing, and an unknown one in a row doesn't hold."""
+    return rows.where(reduce(lambda a, b: a & b, (F.coalesce(F.col(c), F.lit(False)) for c, on in flags.items() if on), F.lit(True)))
+
+
 def in_category(rows: DataFrame, name: str) -> DataFrame:
     """Rows of a category, whichever level the name is of."""
     return rows.where((F.col("category_top_level") == name) | (F.col("category_path") == name) | (F.col("category_level_2") == name))

@@ -14,6 +14,11 @@ def latest_version(log: DataFrame, keys: list[str], order: list[Column]) -> Data
     return log.withColumn("nth_version", nth).where("nth_version = 1").drop("nth_version")
 
 
+def mark_latest(log: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """log with a column `name`: whether a row is the one that latest_version keeps. Rows that already stand together by one of the keys aren't exchanged for it."""
+    return log.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], kept: list[str] = ()) -> DataFrame:
     """current with changes put in by key: a row whose key is there is replaced but for its columns `kept`, others are added.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import demand, replenishment as rp, stock
 from ..operators.lead_times import median_lead_times, with_lead_time
-from ..operators.versions import latest_version
+from ..operators.versions import latest_version, mark_latest
 from ..sources import tables as t
 from ..sources.kept import Days, kept, place_of, state_of
 from .views import STATUS, over
@@ -121,21 +121,20 @@ def stock_and_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_and_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units sold in 31 and 61 days and units on order, over all versions of lines and over the latest, by item and target shop."""
+    """Units sold in 31 and 61 days and units on order, over all versions of lines and over the latest, by item and target shop.
+
+    Lines and sales are read once: lines meet their sale, whose rows then stand together for the newest version of each line to be marked, and sums count what holds.
+    """
     sales = t.sales(spark, sf_dir).where(F.col("shop_id").isin(*t.TARGET_SHOPS))
-    parts = []
-    for label, lines in (("raw", t.sale_lines(spark, sf_dir)), ("latest", latest_lines(spark, sf_dir))):
-        day = F.to_date("complete_time")
-        sold = demand.sold_lines(lines, sales).where(day >= F.lit(t.AS_OF - timedelta(days=60)))
-        recent = F.when(day >= F.lit(t.AS_OF - timedelta(days=30)), F.col("quantity")).otherwise(0.0)
-        zero = F.lit(0.0)
-        parts.append(sold.select(*stock.PAIR, F.lit(label).alias("side"), recent.alias("units_30"), F.col("quantity").alias("units_60"), F.lit(1).alias("line"), zero.alias("on_order")))
-        parts.append(demand.open_purchase_units(lines, sales).select(*stock.PAIR, F.lit(label).alias("side"), zero.alias("units_30"), zero.alias("units_60"), F.lit(0).alias("line"), F.col("po_units").alias("on_order")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    of = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
-    return rows.groupBy(*stock.PAIR).agg(*(of(s, c).alias(f"{s}_{c}") for s in ("raw", "latest") for c in ("units_30", "units_60", "line", "on_order")))
+    day, yes = F.to_date("complete_time"), lambda c: F.coalesce(c, F.lit(False))
+    sold = F.col("completed") & ~F.col("voided") & (day >= F.lit(t.AS_OF - timedelta(days=60)))
+    facts = {"sold": yes(sold), "recent": yes(day >= F.lit(t.AS_OF - timedelta(days=30))), "open": ~yes(F.col("received")) & ~yes(F.col("voided"))}
+    sales = sales.select("sale_id", "shop_id", *(c.alias(name) for name, c in facts.items())).where("sold or open")
+    rows = mark_latest(t.sale_lines(spark, sf_dir).join(sales, "sale_id"), t.LINE_ID, t.newest_line(), "latest").withColumn("raw", F.lit(True))
+    left = F.col("quantity") - F.coalesce("num_received", F.lit(0.0))
+    values = {"units_30": ("sold and recent", F.col("quantity"), F.lit(0.0)), "units_60": ("sold", F.col("quantity"), F.lit(0.0)), "line": ("sold", F.lit(1), F.lit(0)), "on_order": ("open", left, F.lit(0.0))}
+    of = lambda side, name, holds, value, zero: F.sum(F.when(F.expr(f"{side} and {holds}"), value).otherwise(zero)).alias(f"{side}_{name}")
+    return rows.groupBy(*stock.PAIR).agg(*(of(side, name, *v) for side in ("raw", "latest") for name, v in values.items()))
 
 
 def qualification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
