@@ -238,3 +238,44 @@ def tiles(rows: DataFrame, today: date) -> dict[str, dict[str, Column]]:
         "web": {"matched_unreceived": (F.col("web_match") == "matched") & (F.col("stage") != "received"), "matched_received": (F.col("web_match") == "matched") & (F.col("stage") == "received"), "not_matched": F.col("web_match") == "none"},
         "action": {"order_today": F.col("stage").isin("open_pool", "unordered_po") & (F.col("flag") != "none"), "follow_up": (F.col("stage") == "ordered") & F.col("flag").isin("no_eta", "overdue", "overdue_mid", "critical")},
     }
+
+
+#: Flags of orders that are late.
+LATE = ("overdue", "overdue_mid", "critical")
+
+
+def created_day(line_time: Column, changed: Column) -> Column:
+    """The day on which an order began: that of its line of a sale, or else of the record's last change, where it has no line or the line no time."""
+    return F.to_date(F.coalesce(line_time, changed))
+
+
+def link(template: str, key: Column) -> Column:
+    """template with a key in place of {}; null without a key."""
+    before, after = template.split("{}")
+    return F.when(key.isNotNull(), F.concat(F.lit(before), key.cast("string"), F.lit(after)))
+
+
+def recorded(rows: DataFrame, shops: dict[int, str], links: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows (of with_flag, with po_complete, num_received, upc and item_text, line_text) with what a page shows beside them.
+
+    store, status (Unknown, if none is given), stage_index, is_overdue, po_ordered, po_complete, received_started, upc (null if blank), description (the item's, or else the
+    line's), and a link for each of links: its name, a template and the column of its key.
+    """
+    names = F.create_map(*(F.lit(x) for pair in shops.items() for x in pair))
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    stage = ordered_case([(F.col("stage") == s, i) for i, s in enumerate(STAGES)], None)
+    has_po = F.col("po_id").isNotNull()
+    return rows.withColumns(
+        {
+            "store": F.try_element_at(names, F.col("shop_id").cast("int")),
+            "status": F.coalesce("status_text", F.lit("Unknown")),
+            "stage_index": stage,
+            "is_overdue": F.col("flag").isin(*LATE),
+            "po_ordered": has_po & F.col("po_ordered_date").isNotNull(),
+            "po_complete": has_po & F.coalesce("po_complete", F.lit(False)),
+            "received_started": has_po & F.coalesce(F.col("num_received") > 0, F.lit(False)),
+            "upc": filled("upc"),
+            "description": F.coalesce(filled("item_text"), "line_text"),
+            **{name: link(template, F.col(c)) for name, (template, c) in links.items()},
+        }
+    )

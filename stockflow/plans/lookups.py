@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import grid, qualification, replenishment as rp, special_orders as so, text_index
 from ..sources import tables as t
 from ..sources.kept import kept
+from .orders import matched
 from .stock import _QTY, INPUTS, all_recommendations
-from .views import over
-from .worklists import ORACLES as WORKLISTS, enriched
+from .views import VIEWS, over
+from .worklists import _MORE, ORACLES as WORKLISTS, enriched
 
 NEEDLES = ("Brand#13", "11", "y/brand#2")
 ITEM_TEXTS = ["description", "sku", "brand", "category_path"]
@@ -50,7 +51,27 @@ def qualification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.withColumns({c: F.to_json(c) for c in ("by_shop", "examples")})
 
 
-QUERIES = {f.__name__: f for f in (indexed_order_search, indexed_item_search, grid_choice, qualification_report)}
+LINKS = {"item_link": ("/items/{}", "item_id"), "customer_link": ("/customers/{}", "customer_id"), "order_link": ("/orders/{}?tab=main", "po_id")}
+SHOPS = {0: "North", 1: "Centre", 2: "South"}
+
+
+def special_order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records of special orders. Lines of every sixth sale have no time here: their orders began two days later, at the record's last change; every fourth item has a blank text and no upc."""
+    rows = matched(spark, sf_dir).where(~F.col("done"))
+    line_time = F.when(F.col("sale_id") % 6 != 0, F.col("created_date"))
+    rows = rows.withColumn("created_date", so.created_day(line_time, F.date_add("created_date", 2)))
+    rows = so.with_flag(so.with_stage(rows), t.AS_OF)
+    sales = t.sales(spark, sf_dir).select("sale_id", "customer_id", "customer_name", F.col("received").alias("po_complete"))
+    fourth = F.col("item_id") % 4 == 0
+    items = t.items(spark, sf_dir).select("item_id", "brand", F.when(fourth, " ").otherwise(F.col("description")).alias("item_text"), F.when(fourth, "").otherwise(F.col("sku")).alias("upc"))
+    rows = rows.join(sales, "sale_id", "left").join(items, "item_id", "left").join(t.vendors(spark, sf_dir), "vendor_id", "left")
+    rows = so.recorded(rows.withColumns({"num_received": F.when(F.col("po_id") % 3 == 0, F.col("quantity")), "line_text": F.concat(F.lit("line "), F.col("sale_id").cast("string"))}), SHOPS, LINKS)
+    known = ["special_order_id", "status", "quantity", "shop_id", "store", "created_date", "age_days", "contacted", "customer_id", "customer_name", "customer_email", "web_match", "web_order_id", "web_order_name", "item_id", "system_sku", "upc", "description"]
+    more = ["brand", "po_id", "vendor_id", "vendor_name", "expected_date", "po_ordered_date", "po_ordered", "po_complete", "received_started", "stage", "stage_index", "flag", "days_overdue", "is_overdue", *LINKS]
+    return rows.select(*known, *more)
+
+
+QUERIES = {f.__name__: f for f in (indexed_order_search, indexed_item_search, grid_choice, qualification_report, special_order_records)}
 
 _HOLDS = lambda text: " OR ".join(f"contains(lower({c}), '{text.lower()}')" for c in ITEM_TEXTS)
 ORACLES = {
@@ -62,6 +83,14 @@ ORACLES = {
     FROM planned p JOIN overrides o ON o.sku = p.sku AND o.location_id = p.shop_id)
   WHERE shop_id IN (0, 2) AND (contains(lower(sku), '5') OR contains(lower(description), '5')) AND (current_reorder_point <> reorder_point OR current_desired_level <> desired_level)"""
     ),
+    "special_order_records": over(
+        """SELECT special_order_id, status_text AS status, f.quantity, f.shop_id, CASE f.shop_id WHEN 0 THEN 'North' WHEN 1 THEN 'Centre' WHEN 2 THEN 'South' END AS store, created_date, age_days, contacted, s.customer_id, s.customer_name, customer_email,
+  web_match, web_order_id, web_order_name, f.item_id, system_sku, CASE WHEN f.item_id % 4 <> 0 THEN i.sku END AS upc, CASE WHEN f.item_id % 4 <> 0 THEN i.description ELSE 'line ' || f.sale_id END AS description, i.brand, po_id, f.vendor_id, v.vendor_name, expected_date,
+  po_ordered_date, po_id IS NOT NULL AND po_ordered_date IS NOT NULL AS po_ordered, po_id IS NOT NULL AND s.received AS po_complete, coalesce(po_id % 3 = 0, false) AS received_started, stage, (list_position(['open_pool', 'unordered_po', 'ordered', 'received'], stage) - 1)::INTEGER AS stage_index,
+  flag, days_overdue, flag IN ('overdue', 'overdue_mid', 'critical') AS is_overdue, '/items/' || f.item_id AS item_link, '/customers/' || s.customer_id AS customer_link, '/orders/' || po_id || '?tab=main' AS order_link
+  FROM flagged f JOIN sales s USING (sale_id) LEFT JOIN items i ON i.item_id = f.item_id LEFT JOIN vendors v ON v.vendor_id = f.vendor_id""",
+        **_MORE | {"first_orders": VIEWS["special_orders"], "special_orders": "SELECT * REPLACE (CASE WHEN sale_id % 6 <> 0 THEN created_date ELSE created_date + 2 END AS created_date) FROM first_orders"},
+    ),
     "qualification_report": over(
         f"""SELECT (SELECT count(*) FROM qualified) AS qualified_items, (SELECT count(*) FROM known) AS latest_items, (SELECT count(*) FROM target) AS target_rows,
   (SELECT to_json(list({{'shop_id': shop_id, 'n': n}} ORDER BY shop_id))::VARCHAR FROM (SELECT shop_id, count(*) AS n FROM target GROUP BY 1)) AS by_shop,

@@ -4,9 +4,10 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockflow import plans
-from stockflow.operators import grid, qualification, text_index
+from stockflow.operators import grid, qualification, special_orders as so, text_index
 
 COLUMNS = ["name", "note", "names"]
 
@@ -70,6 +71,24 @@ def test_report(spark):
     assert (none.qualified_items, none.latest_items, none.target_rows, none.by_shop) == (0, 0, 0, [])
 
 
+def test_records(spark):
+    at = datetime(2020, 1, 5, 23)
+    schema = "id int, line_time timestamp, changed timestamp, shop_id long, status_text string, po_id long, po_ordered_date date, po_complete boolean, num_received double, upc string, item_text string, line_text string, contacted boolean, po_arrival_date date"
+    given = [
+        (1, at, datetime(2020, 1, 9), 0, None, None, at.date(), True, 3.0, " ", None, "a line", False, None),
+        (2, None, at, 7, "Ordered", 5, at.date(), None, 0.0, "12", "an item", "a line", False, at.date()),
+        (3, None, None, None, "Arrived", 6, None, True, 1.0, None, "", None, True, None),
+    ]
+    rows = spark.createDataFrame(given, schema).withColumn("created_date", so.created_day(F.col("line_time"), F.col("changed")))
+    rows = so.recorded(so.with_flag(so.with_stage(rows), datetime(2020, 1, 30).date()), {0: "North"}, {"order_link": ("/o/{}?x", "po_id")})
+    a, b, c = rows.orderBy("id").collect()
+    assert [r.created_date and r.created_date.day for r in (a, b, c)] == [5, 5, None]
+    assert (a.status, a.store, a.stage, a.stage_index, a.flag, a.is_overdue) == ("Unknown", "North", "open_pool", 0, "critical", True)
+    assert (a.po_ordered, a.po_complete, a.received_started, a.upc, a.description, a.order_link) == (False, False, False, None, "a line", None)
+    assert (b.store, b.stage_index, b.flag, b.is_overdue, b.po_ordered, b.po_complete, b.received_started, b.upc, b.description, b.order_link) == (None, 2, "critical", True, True, False, False, "12", "an item", "/o/5?x")
+    assert (c.store, c.stage_index, c.flag, c.is_overdue, c.po_complete, c.received_started, c.description) == (None, 3, "none", False, True, True, None)
+
+
 def test_lines_are_read_once(spark, sf):
     plan = plans.QUERIES["raw_and_deduplicated"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 4  # lines, orders, and two for the shop of an order
