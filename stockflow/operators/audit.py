@@ -57,3 +57,8 @@ def eta_outbox(orders: DataFrame, days: int, at) -> DataFrame:
     """Promised dates to be sent to the web shop, for their log too: that of each order (order_id, eta), so many days later; one without a date gets none."""
     changed = orders.where("eta is not null").select("order_id", F.lit(at).cast("timestamp").alias("logged_at"), F.col("eta").alias("old_eta"), F.date_add("eta", days).alias("new_eta"))
     return changed.distinct()
+
+
+def newest_runs(runs: DataFrame, n: int = 50) -> DataFrame:
+    """The last n runs, newest first; of runs at one time the smaller id comes first."""
+    return runs.orderBy(F.desc("run_at"), "run_id").limit(n)

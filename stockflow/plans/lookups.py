@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import grid, qualification, replenishment as rp, special_orders as so, text_index
+from ..operators import audit, grid, qualification, replenishment as rp, special_orders as so, text_index
 from ..sources import tables as t
 from ..sources.kept import kept
 from .orders import matched
 from .stock import _QTY, INPUTS, all_recommendations
+from .vendors import ORACLES as VENDORS, brand_vendors, lead_time_median
 from .views import VIEWS, over
 from .worklists import _MORE, ORACLES as WORKLISTS, enriched
 
@@ -71,7 +72,28 @@ def special_order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*known, *more)
 
 
-QUERIES = {f.__name__: f for f in (indexed_order_search, indexed_item_search, grid_choice, qualification_report, special_order_records)}
+def ordered_lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixty lead times by vendor and shop."""
+    return lead_time_median(spark, sf_dir).orderBy("vendor_id", "shop_id").limit(60)
+
+
+def ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixty vendors of brands: by brand, then the most items, then vendor."""
+    return brand_vendors(spark, sf_dir).orderBy("brand_name", F.desc("distinct_items"), "vendor_id").limit(60)
+
+
+def recommendation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty newest runs of a kept log of runs, with one for each day and shop of the stock log."""
+
+    def runs() -> DataFrame:
+        day = F.to_date("updated_time")
+        found = t.stock_log(spark, sf_dir).groupBy(day.alias("day"), "shop_id").agg(F.count_distinct("item_id").alias("items"), F.count_if(F.col("qoh") <= 0).alias("needs_order"))
+        return found.select(F.concat_ws("-", F.lit("run"), "day", F.col("shop_id").cast("string")).alias("run_id"), F.col("day").cast("timestamp").alias("run_at"), "items", "needs_order", F.lit("log").alias("triggered_by"))
+
+    return audit.newest_runs(kept(spark, "runs", [f"{sf_dir}/events.parquet"], runs)).withColumn("run_at", F.to_date("run_at"))
+
+
+QUERIES = {f.__name__: f for f in (indexed_order_search, indexed_item_search, grid_choice, qualification_report, special_order_records, ordered_lead_times, ordered_sources, recommendation_runs)}
 
 _HOLDS = lambda text: " OR ".join(f"contains(lower({c}), '{text.lower()}')" for c in ITEM_TEXTS)
 ORACLES = {
@@ -83,6 +105,10 @@ ORACLES = {
     FROM planned p JOIN overrides o ON o.sku = p.sku AND o.location_id = p.shop_id)
   WHERE shop_id IN (0, 2) AND (contains(lower(sku), '5') OR contains(lower(description), '5')) AND (current_reorder_point <> reorder_point OR current_desired_level <> desired_level)"""
     ),
+    "ordered_lead_times": f"SELECT * FROM ({VENDORS['lead_time_median']}) ORDER BY vendor_id, shop_id LIMIT 60",
+    "ordered_sources": f"SELECT * FROM ({VENDORS['brand_vendors']}) ORDER BY brand_name, distinct_items DESC, vendor_id LIMIT 60",
+    "recommendation_runs": over("""SELECT 'run-' || updated_time::DATE || '-' || shop_id AS run_id, updated_time::DATE AS run_at, count(DISTINCT item_id) AS items, count(*) FILTER (qoh <= 0) AS needs_order, 'log' AS triggered_by
+  FROM stock_log GROUP BY updated_time::DATE, shop_id ORDER BY run_at DESC, run_id LIMIT 50"""),
     "special_order_records": over(
         """SELECT special_order_id, status_text AS status, f.quantity, f.shop_id, CASE f.shop_id WHEN 0 THEN 'North' WHEN 1 THEN 'Centre' WHEN 2 THEN 'South' END AS store, created_date, age_days, contacted, s.customer_id, s.customer_name, customer_email,
   web_match, web_order_id, web_order_name, f.item_id, system_sku, CASE WHEN f.item_id % 4 <> 0 THEN i.sku END AS upc, CASE WHEN f.item_id % 4 <> 0 THEN i.description ELSE 'line ' || f.sale_id END AS description, i.brand, po_id, f.vendor_id, v.vendor_name, expected_date,
