@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import common, slices
@@ -26,6 +27,7 @@ RUN_BYTES = 1 << 21
 #: White space of two or three bytes, as numbers, and the bytes that begin or end it.
 WIDE = [int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()]
 IN_WIDE = np.isin(np.arange(256), [x for c in WIDE for x in (c & 255, c >> (8 if c < 1 << 16 else 16))])
+#: task made the piece, after `own` others of that length.
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -34,6 +36,8 @@ PIECES = T.StructType(
         T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()),
         T.StructField("ids", T.BinaryType()),
+        T.StructField("task", T.IntegerType()),
+        T.StructField("own", T.LongType()),
     ]
 )
 #: ids are little-endian integers, as of Encoder.kind: 2 bytes each in a vocabulary of 65,536 ids or fewer, else 4.
@@ -179,8 +183,10 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """PIECES of each document: full sequences, then the remainder, all with their ids. A null text is empty, and has end_id alone."""
 
+    made: defaultdict[tuple[int, int], int] = defaultdict(int)
+
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        coder = encoder(tokenizer)
+        coder, task, attempt = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
         for at in range(0, len(ids_of), 512):
             part = [t or "" for t in texts[at : at + 512].to_pylist()]
@@ -189,7 +195,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                 wide, n = memoryview(ids.astype("<u4").tobytes()), len(ids)
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
-                    yield doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, ids[start : start + length].tobytes()
+                    own = made[attempt, length]
+                    made[attempt, length] += 1
+                    yield doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, ids[start : start + length].tobytes(), task, own
 
     return common.map_rows(docs.select("doc_id", "text"), PIECES, rows, lambda r: 60 + len(r[5]))
 
@@ -303,15 +311,15 @@ class Plan:
             shift += part
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """found with `rank`, from 0, among the rows of a length. Rows of a length are dealt into several groups, so that none is large."""
-    groups = 8 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    return dealt.withColumn("own", own).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own") - 1)
+def ranked(found: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
+    """found with `rank`, from 0, among the rows of a length. sizes: n, the rows of each length that each task made.
+
+    Those made by tasks before it, and those that its own task made before it, come before a row. So no ids are exchanged while the table of sums is small
+    enough for Spark to broadcast it.
+    """
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found.join(common.written(base, label), ["length", "task"]).withColumn("rank", F.col("base") + F.col("own"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -321,7 +329,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     Repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     found = common.written(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    sizes = common.written(found.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-sizes")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = Plan(make_plan(counts, capacity))
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -333,7 +342,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
                 else:
                     yield doc_id, start, length, crc, tokens, sequence, offset, ids
 
-    return common.map_rows(ranked(found).select(*PIECES.names, "rank"), PACKED, rows, lambda r: 80 + len(r[7]))
+    # full pieces apart: theirs is one sum for each task, a small table whatever the corpus
+    full = F.col("length") == capacity
+    placed = ranked(found.where(full), sizes.where(full), "full-before").unionByName(ranked(found.where(~full), sizes.where(~full), "rests-before"))
+    return common.map_rows(placed.select(*PIECES.names[:6], "rank"), PACKED, rows, lambda r: 80 + len(r[7]))
 
 
 def default_tokenizer() -> str:
