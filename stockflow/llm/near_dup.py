@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = common.written(members.join(common.written(shared, "buckets"), "key"), "members").distinct()
-    links, tested, labels = [], None, docs.sparkSession.createDataFrame([], "node long, component long")
+    tested, labels = None, docs.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(3):
         open_ = members.withColumn("component", F.col("doc_id"))
         if turn:
@@ -260,8 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             tested = common.written(pairs.distinct(), "pairs")
             new = confirmed(tested, docs, words, percent)
         if not new.isEmpty():
-            links.append(new)
-            labels = components(reduce(DataFrame.unionByName, links))
+            labels = components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))  # what is joined already comes as stars
     class_of = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     rows = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(common.written(class_of, "class-of"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
