@@ -22,6 +22,8 @@ CACHE_WORDS = 1 << 20
 LONG_WORD = 64
 #: Code points below this are letters or not for all that know Unicode; marks that stand apart from the letters before them.
 SIMPLE, MARKS = 0x250, set(",.;:?!")
+#: Most rows of a table of sums that is broadcast, about 160 MB; a larger one is joined by an exchange.
+BROADCAST_ROWS = 1 << 20
 #: Bytes of texts whose words are looked up together.
 RUN_BYTES = 1 << 21
 #: White space of two or three bytes, as numbers, and the bytes that begin or end it.
@@ -314,12 +316,13 @@ class Plan:
 def ranked(found: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
     """found with `rank`, from 0, among the rows of a length. sizes: n, the rows of each length that each task made.
 
-    Those made by tasks before it, and those that its own task made before it, come before a row. So no ids are exchanged while the table of sums is small
-    enough for Spark to broadcast it.
+    Those made by tasks before it, and those that its own task made before it, come before a row. So no ids are exchanged while the table of sums has at most
+    BROADCAST_ROWS rows.
     """
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(common.written(base, label), ["length", "task"]).withColumn("rank", F.col("base") + F.col("own"))
+    base = common.written(base, label)
+    return found.join(base.hint("broadcast" if base.count() <= BROADCAST_ROWS else "merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("own"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -116,21 +116,17 @@ def test_sequences_can_be_built_from_the_rows(spark):
     assert sum(sum(len(ids) for _, ids in parts) < pk.CAPACITY for parts in by_sequence.values()) <= 1
 
 
-@pytest.mark.parametrize("threshold", ["10m", "-1"])
-def test_ranks_of_each_length_are_gapless(spark, sf, threshold):
-    """Whether sums are broadcast, so that ids stay where they are, or too large for it and joined by an exchange."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(7)
-        found = pk.common.written(pk.pieces(docs, pk.default_tokenizer(), capacity=64), "pieces")
-        ranked = pk.ranked(found, found.groupBy("length", "task").agg(pk.F.count("*").alias("n")), "before")
-        ranks = defaultdict(list)
-        for r in ranked.select("length", "rank").collect():
-            ranks[r.length].append(r["rank"])
-        assert len(ranks) > 1 and found.count() == sum(map(len, ranks.values()))
-        assert all(sorted(x) == [*range(len(x))] for x in ranks.values())
-        plan = ranked._jdf.queryExecution().executedPlan().toString()
-        assert ("BroadcastHashJoin" in plan) == (threshold == "10m") and ("hashpartitioning" in plan) == (threshold == "-1")
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+@pytest.mark.parametrize("most", [pk.BROADCAST_ROWS, 10])
+def test_ranks_of_each_length_are_gapless(spark, sf, monkeypatch, most):
+    """Whether sums are broadcast, so that ids stay where they are, or too many for it and joined by an exchange."""
+    monkeypatch.setattr(pk, "BROADCAST_ROWS", most)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(7)
+    found = pk.common.written(pk.pieces(docs, pk.default_tokenizer(), capacity=64), "pieces")
+    ranked = pk.ranked(found, found.groupBy("length", "task").agg(pk.F.count("*").alias("n")), "before")
+    ranks = defaultdict(list)
+    for r in ranked.select("length", "rank").collect():
+        ranks[r.length].append(r["rank"])
+    assert len(ranks) > 1 and found.count() == sum(map(len, ranks.values()))
+    assert all(sorted(x) == [*range(len(x))] for x in ranks.values())
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (most > 10) and ("hashpartitioning" in plan) == (most == 10)
