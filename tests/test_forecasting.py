@@ -125,3 +125,13 @@ def test_peaks_take_the_first_of_ties(spark):
     rows = spark.createDataFrame([("k", [1.0, 2.0, 2.0, 0.5, 0.5] + [1.0] * 7)], "k string, indices array<double>")
     assert tuple(fc.peaks(rows, ["k"]).first()) == ("k", 2, 4)
     assert math.isclose(sum(r.seasonal_index for r in fc.by_month(rows).collect()), 13.0)
+
+
+def test_the_mean_of_indices_does_not_hang_on_their_order(spark):
+    """Added up from the left, ten tenths and larger numbers lose their last digits."""
+    values = [0.1] * 10 + [1e16, 4.4, -1e16, 0.0]
+    rows = spark.createDataFrame([(values,), (values[::-1],), ([0.1, None],)], "x array<double>")
+    assert [r.s for r in rows.select(fc.exact_sum("x").alias("s")).collect()] == [math.fsum(values)] * 2 + [None]
+    tenths = [0.1] * 10 + [0.2] * 2
+    row = fc.mean_one(spark.createDataFrame([(tenths,)], "x array<double>"), "x").first()
+    assert row.x == [v / (math.fsum(tenths) / 12) for v in tenths]
