@@ -32,6 +32,12 @@ def test_query_has_rows(spark, sf, name):
     assert not plans.QUERIES[name](spark, sf).isEmpty()
 
 
+def test_orders_of_any_age_are_adopted(spark, sf):
+    """Finished orders older than ninety days take web orders, too."""
+    ages = plans.orders.matched(spark, sf).selectExpr("special_order_id", "datediff(date'2001-08-01', created_date) AS age")
+    assert not plans.QUERIES["adopted_orders"](spark, sf).join(ages, "special_order_id").where("age > 90").isEmpty()
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
