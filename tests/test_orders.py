@@ -117,3 +117,28 @@ def test_no_list_of_orders_is_made_for_many_rows(spark):
         assert sorted(r.order_id for r in taken.collect()) == sorted(want)
         got = so.adopted(keys, web, taken)
         assert sorted(r.special_order_id for r in got.collect()) == sorted(r.special_order_id for r in so.adopted(lists, None, taken).collect())
+
+
+def _unaided(spark, build):
+    """The plan of build() as for tables that are too large to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_tables_of_orders_are_exchanged_once_for_their_keys(spark):
+    rows, web = spark.createDataFrame([order(1)], ORDER), spark.createDataFrame([(1, "#1", "a@x", "s", None, None)], WEB)
+    plan = _unaided(spark, lambda: so.with_keys(rows, so.keyed_orders(web)))
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "Join" not in plan and sum("hashpartitioning(k_sku#" in line and "REPARTITION_BY_COL" in line for line in exchanges) == 1
+
+
+def test_versions_are_told_apart_where_the_lines_of_a_sale_stand(spark, sf):
+    from stockflow.sources import tables as t
+    from stockflow.plans import stock
+
+    assert "line_no" not in "".join(x for x in _unaided(spark, lambda: t.special_orders(spark, sf)).splitlines() if "Exchange" in x)
+    assert "line_no" not in "".join(x for x in _unaided(spark, lambda: stock.item_metrics(spark, sf)).splitlines() if "Exchange" in x)
