@@ -24,13 +24,23 @@ def grams_of(needle: str) -> list[str]:
     return sorted({needle[i : i + GRAM] for i in range(len(needle) - GRAM + 1)})
 
 
-def index(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def place(key: Column, block: int) -> Column:
+    """What stands for a key in a table: itself, or of keys that are numbers the number of its block, each of as many numbers as block says."""
+    return key if block == 1 else F.floor(key / block)
+
+
+def index(rows: DataFrame, key: str, columns: list[str], block: int = 1) -> DataFrame:
     """(gram, field, key): a row for each gram of each column of a row, sorted by gram, so that a scan for some grams skips the rest.
 
-    Ranges go by gram and key, so that a gram which nearly all rows hold takes several parts. A key that recurs has the grams of all its rows.
+    Ranges go by gram and key, so that a gram which nearly all rows hold takes several parts. A key that recurs has the grams of all its rows. With a block above 1 key is the number of a block of
+    keys (place), whose rows meet in one task and have each text, then each gram once: the table grows with the blocks, not with all letters of all rows.
     """
     texts = F.array(*(F.struct(F.lit(i).alias("field"), folded(rows, c).alias("text")) for i, c in enumerate(columns)))
-    each = rows.select(F.col(key).alias("key"), F.explode(texts).alias("of")).select("key", "of.field", F.explode(grams(F.col("of.text"))).alias("gram"))
+    rows = rows.select(place(F.col(key), block).alias("key"), texts.alias("texts")) if block == 1 else rows.select(place(F.col(key), block).alias("key"), *columns).repartition("key").select("key", texts.alias("texts"))
+    each = rows.select("key", F.explode("texts").alias("of")).select("key", "of.field", "of.text")
+    each = each if block == 1 else each.distinct()
+    each = each.select("key", "field", F.explode(grams(F.col("text"))).alias("gram"))
+    each = each if block == 1 else each.distinct()
     return each.select("gram", "field", "key").repartitionByRange("gram", "key").sortWithinPartitions("gram", "key")
 
 
@@ -41,13 +51,13 @@ def candidates(table: DataFrame, needle: str) -> DataFrame:
     return found.where(F.col("n") == len(wanted)).select("key").distinct()
 
 
-def search(rows: DataFrame, table: DataFrame, text: str, key: str, columns: list[str]) -> DataFrame:
-    """grid.searched's rows. table: index() of rows, or of more rows than these, by the same key and columns.
+def search(rows: DataFrame, table: DataFrame, text: str, key: str, columns: list[str], block: int = 1) -> DataFrame:
+    """grid.searched's rows. table: index() of rows, or of more rows than these, by the same key, columns and block.
 
     A needle under GRAM letters has no gram, and all rows are read. Rows with a null key are found like others.
     """
     needle = text.strip().lower()
     if len(needle) >= GRAM:
         keys = candidates(table, needle).withColumnRenamed("key", "key_of_text")
-        rows = rows.join(keys, rows[key].eqNullSafe(keys["key_of_text"]), "left_semi")
+        rows = rows.join(keys, place(rows[key], block).eqNullSafe(keys["key_of_text"]), "left_semi")
     return searched(rows, text, columns)

@@ -52,6 +52,18 @@ def test_the_grams_reach_the_scan(spark, texts, tmp_path):
     assert "In(gram, [" in plan
 
 
+def test_an_index_of_blocks_finds_the_same_with_fewer_rows(spark, texts):
+    """A gram stands once for each field of a block, however many rows hold it."""
+    values, rows, table = texts
+    blocks = text_index.index(rows, "id", COLUMNS, block=64).cache()
+    assert blocks.count() == blocks.distinct().count() < table.count()
+    for text in ("", "a😀", "ÄSS", "seven", "needle in a list", "zzz", *(v[1].strip()[:4] for v in values[:40:4])):
+        want = sorted(grid.searched(rows, text, COLUMNS).select("id", "name").collect(), key=str)
+        assert sorted(text_index.search(rows, blocks, text, "id", COLUMNS, block=64).select("id", "name").collect(), key=str) == want, text
+    same = spark.range(1000).select("id", F.lit("the same text").alias("t"))
+    assert text_index.index(same, "id", ["t"], block=1000).count() == 11
+
+
 def test_flags(spark):
     rows = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True)], "id int, a boolean, b boolean")
     ids = lambda flags: sorted(r.id for r in grid.ticked(rows, flags).collect())
