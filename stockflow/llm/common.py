@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,8 +52,18 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[doc]) & (F.xxhash64(docs["text"]) == rejected[h]), "left_anti")
 
 
-def map_rows(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatch], Iterator[tuple]], size: Callable[[tuple], int] = lambda row: 200) -> DataFrame:
-    """mapInArrow by a function that yields tuples for a batch; what it yields goes back in batches of BATCH_BYTES at most."""
+def give_back() -> None:
+    """Memory that is free goes back to the system: Python workers live on after their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatch], Iterator[tuple]], size: Callable[[tuple], int] = lambda row: 200, forget: Callable[[], None] = lambda: None) -> DataFrame:
+    """mapInArrow by a function that yields tuples for a batch; what it yields goes back in batches of BATCH_BYTES at most.
+
+    `forget` ends a task: what its worker shouldn't keep for the next ones goes there.
+    """
     arrow = to_arrow_schema(schema)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +77,9 @@ def map_rows(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatch
                     held, weight = [], 0
         if held:
             yield to_batch(held, arrow)
+        batch = row = held = None
+        forget()
+        give_back()
 
     return df.mapInArrow(batches, schema)
 

@@ -55,6 +55,11 @@ class Words(dict):
 WORDS = Words()
 
 
+def forget() -> None:
+    """No words are known: those of a task are of little use to the next one."""
+    WORDS.clear()
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The set of hashed shingles, sorted: runs of `words` words, A-Z lowered; fewer words are one shingle; none, no shingle.
 
@@ -110,7 +115,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             bands = band_keys(sketch(items, BANDS * ROWS)) if len(items) else None
             yield doc_id, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), bands
 
-    return common.map_rows(docs.select("doc_id", "text"), SKETCH, rows, lambda r: 450)
+    return common.map_rows(docs.select("doc_id", "text"), SKETCH, rows, lambda r: 450, forget)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,7 +144,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 if 100 * common_size >= percent * (len(x) + len(y) - common_size):
                     yield a, b
 
-    return common.written(common.map_rows(both, LINK, rows, lambda r: 16).distinct(), "links")
+    return common.written(common.map_rows(both, LINK, rows, lambda r: 16, forget).distinct(), "links")
 
 
 def confirmed_in_blocks(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -181,6 +186,7 @@ def confirmed_in_blocks(open_: DataFrame, docs: DataFrame, words: int, percent:
             has[mine] = False
             alike = (100 * shared >= percent * (size + size[i] - shared)) & (component != component[i]) & (block == hi)
             found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in np.flatnonzero(alike)]
+        forget()
         return pa.Table.from_batches([common.to_batch(sorted(set(found)), arrow)])
 
     return common.written(rows.groupBy("lead", "lo", "hi").applyInArrow(links, LINK).distinct(), "links")

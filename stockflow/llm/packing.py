@@ -182,6 +182,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget(path: str) -> None:
+    """The encoder stays without its words: those of a task are of little use to the next one."""
+    if encoder.cache_info().currsize:
+        encoder(path).forget()
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """PIECES of each document: full sequences, then the remainder, all with their ids. A null text is empty, and has end_id alone."""
 
@@ -201,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                     made[attempt, length] += 1
                     yield doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, ids[start : start + length].tobytes(), task, own
 
-    return common.map_rows(docs.select("doc_id", "text"), PIECES, rows, lambda r: 60 + len(r[5]))
+    return common.map_rows(docs.select("doc_id", "text"), PIECES, rows, lambda r: 60 + len(r[5]), lambda: forget(tokenizer))
 
 
 def best_fill(counts: list[int], target: int) -> dict[int, int]:

@@ -1,9 +1,10 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from stockflow.llm import common, packing
+from stockflow.llm import common, near_dup, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string"
 
@@ -55,3 +56,24 @@ def test_empty_table(spark, corpus, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, folder), f"empty-{name}")
         assert docs.count() == 0
+
+
+class InThisProcess:
+    """Documents whose mapInArrow runs here, as one task."""
+
+    def __init__(self, rows):
+        self.batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, func, schema):
+        return sum(b.num_rows for b in func(iter([self.batch])))
+
+
+def test_tasks_leave_no_words_to_their_workers(monkeypatch):
+    """A worker lives on for the tasks of all stages: what each keeps would add up."""
+    docs, tokenizer = InThisProcess([(1, "some words of a text"), (2, None), (3, "other words")]), packing.default_tokenizer()
+    assert near_dup.sketches(docs, 2) == 3 and not near_dup.WORDS
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0), "taskAttemptId": classmethod(lambda c: 0)}))
+    assert packing.pieces(docs, tokenizer) == 3 and not packing.encoder(tokenizer).words
