@@ -40,6 +40,8 @@ MOST_TASKS = 1 << 15
 U = np.uint64
 LOW48 = U((1 << 48) - 1)
 BLOCK = 1 << 17
+#: Times a byte: eight of it.
+ALIKE = U(0x0101010101010101)
 
 
 def step_ends() -> np.ndarray:
@@ -96,19 +98,24 @@ class Bytes:
 
     def longest(self) -> np.ndarray:
         """Each byte and the LONGEST before it in one number, the byte itself the highest."""
-        x = self.stream.astype(np.uint64)
-        out = x << U(8 * LONGEST)
-        for k in range(1, LONGEST + 1):
-            out[k:] |= x[:-k] << U(8 * (LONGEST - k))
-        return out[self.own]
+        padded = np.append(self.stream, np.zeros(8, np.uint8))
+        runs = np.ndarray(len(self.stream), "<u8", padded, strides=(1,))  # at each byte, eight from there on
+        return (runs & U((1 << 8 * (LONGEST + 1)) - 1))[self.own - LONGEST]
 
     def words(self) -> np.ndarray:
         """A hash of 48 bits of the word so far, and the byte that follows, in one number."""
         total = self.sums()
-        start = np.maximum.accumulate(np.where(self.stream <= 32, np.arange(1, len(self.stream) + 1), 0))[self.own - 1]
-        context = (total[self.own] - total[start]) * slices.FALL[start]
-        context = ((context ^ (context >> U(29))) * U(0xBF58476D1CE4E5B9)) >> U(16)
-        return context << U(8) | self.stream[self.own]
+        start = np.zeros(len(self.stream), np.int32)
+        np.multiply(self.stream[:-1] <= 32, np.arange(1, len(self.stream), dtype=np.int32), out=start[1:])
+        np.maximum.accumulate(start, out=start)
+        context = total[:-1] - total[start]
+        context *= slices.FALL[start]
+        context ^= context >> U(29)
+        context *= U(0xBF58476D1CE4E5B9)
+        context >>= U(16)
+        context <<= U(8)
+        context |= self.stream
+        return context[self.own]
 
     def whole_words(self) -> tuple[np.ndarray, np.ndarray]:
         """The name of each whole word (56 bits of slices.hashes), and the place of its piece."""
@@ -130,6 +137,16 @@ def batches_of(raw: list[bytes]) -> Iterator[list[int]]:
         yield held
 
 
+def kinds_of(keys: np.ndarray) -> np.ndarray:
+    """Numbers, ascending, each once. Sorts keys in place; looks through them a block at a time."""
+    keys.sort()
+    out = [keys[:1]]
+    for at in range(1, len(keys), BLOCK):
+        some = keys[at : at + BLOCK]
+        out.append(some[some != keys[at - 1 : at - 1 + len(some)]])
+    return np.concatenate(out)
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers, ascending, and how often each occurs with a 1 after it. Sorts keys in place; looks through them a block at a time."""
     if not len(keys):
@@ -157,6 +174,17 @@ def counted(raw: list[bytes], train: np.ndarray, kind: Callable[[Bytes], np.ndar
     return distinct(keys)
 
 
+def read_in(raw: list[bytes], kind: Callable[[Bytes], np.ndarray], look_at: Callable[[Bytes, list[int]], None] = lambda read, some: None) -> np.ndarray:
+    """The distinct numbers of counted, without their occurrences."""
+    keys, at = np.empty(sum(map(len, raw)) - CONTEXT * len(raw), np.uint64), 0
+    for some in batches_of(raw):
+        read = Bytes([raw[i] for i in some])
+        keys[at : at + len(read.own)] = kind(read)
+        look_at(read, some)
+        at += len(read.own)
+    return kinds_of(keys)
+
+
 def shorter(longest: np.ndarray, counts: np.ndarray, placed: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
     """For contexts of LONGEST bytes down to 1: the predictor, its distinct numbers, their counts, and, if placed, where each of `longest` is among them."""
     keys, place = longest, np.arange(len(longest), dtype=np.int32) if placed else None
@@ -328,20 +356,21 @@ def bit_odds(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def odds_packed(odds: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     """How many rows have eight odds that aren't alike; which ones; the first of each row; and what each other adds to the one before it. Compressed, as the last fields of ODDS."""
-    steps = np.diff(odds, axis=1)
-    unlike = steps.any(axis=1)
-    some = np.ascontiguousarray(steps[unlike].T)
+    rows = np.ascontiguousarray(odds).view(np.uint64).ravel()
+    unlike = rows != odds[:, 0].astype(np.uint8) * ALIKE
+    some = np.diff(np.ascontiguousarray(rows[unlike].view(np.int8).reshape(-1, 8).T), axis=0)
     return some.shape[1], *(pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (np.packbits(unlike), odds[:, 0], some))
 
 
 def odds_of(n: int, m: int, unlike: bytes, first: bytes, steps: bytes) -> np.ndarray:
     """(n, 8) odds of what odds_packed gave."""
     unpack = lambda x, size, kind: np.frombuffer(pa.decompress(x, size, "zstd", asbytes=True), kind)
-    out = np.empty((n, 8), np.int8)
-    out[:] = unpack(first, n, np.int8)[:, None]
-    unlike = np.unpackbits(unpack(unlike, -(-n // 8), np.uint8), count=n).astype(bool)
-    out[unlike, 1:] += np.add.accumulate(unpack(steps, 7 * m, np.int8).reshape(7, m), axis=0, dtype=np.int8).T
-    return out
+    first = unpack(first, n, np.uint8)
+    out = first * ALIKE
+    unlike = np.unpackbits(unpack(unlike, -(-n // 8), np.uint8), count=n).view(bool)
+    some = np.concatenate([first[unlike].view(np.int8), unpack(steps, 7 * m, np.int8)]).reshape(8, m)
+    out[unlike] = np.ascontiguousarray(np.add.accumulate(some, axis=0, dtype=np.int8).T).view(np.uint64).ravel()
+    return out.view(np.int8).reshape(n, 8)
 
 
 def looked_up(found: DataFrame, partitions: int, totals: int) -> DataFrame:
@@ -402,14 +431,15 @@ class Odds:
         odds[LONGEST] = self.longest.order = self.words.order = None
 
     def of(self, read: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order of the bytes by step and gate, each one's step and gate in one number, and (bytes, PREDICTORS, 8) odds, in that order."""
+        """The order of the bytes by step and gate, each one's step and gate in one number, and (PREDICTORS, bytes, 8) odds, in that order."""
         longest, step = self.longest.of(read.longest()), STEP_OF[read.place()]
         at = step.astype(np.uint16) * np.uint16(GATES) + self.gates[longest]
         order = np.argsort(at, kind="stable")
-        out = np.empty((len(order), PREDICTORS), np.uint64)
-        out[:, :LONGEST] = self.table.take(longest[order], axis=0)
-        out[:, LONGEST] = self.by_word[self.words.of(read.words())[order]]
-        return order, at[order], out.view(np.int8).reshape(-1, PREDICTORS, 8)
+        out = np.empty((PREDICTORS, len(order)), np.uint64)
+        for a in range(0, len(order), 4096):
+            out[:LONGEST, a : a + 4096] = self.table.take(longest[order[a : a + 4096]], axis=0).T
+        out[LONGEST] = self.by_word[self.words.of(read.words())[order]]
+        return order, at[order], out.view(np.int8).reshape(PREDICTORS, -1, 8)
 
 
 class Start:
@@ -443,7 +473,7 @@ def mix(odds: np.ndarray, at: np.ndarray, sizes: np.ndarray, order: np.ndarray,
         here, m = int(alive[i]), b - a
         x = room[: 8 * PREDICTORS * m].reshape(8, PREDICTORS, m)
         for bit in range(8):
-            x[bit] = odds[a:b, :, bit].T
+            x[bit] = odds[:, a:b, bit]
         x = x.reshape(2, 4, PREDICTORS, m)
         first = np.flatnonzero(np.diff(which[a:b], prepend=-1))
         some, runs = which[a:b][first], np.diff(first, append=m)
@@ -614,8 +644,8 @@ def score_texts(docs: DataFrame, piece: int = PIECE, start: Start | None = None)
         *own, counts = [np.concatenate([x for _, x in sorted(p, key=lambda x: x[0])]) if p else np.zeros(0, np.int64) for p in own]
         words, scores = WholeWords(data, what), np.zeros(len(data))
         if len(of := words.of):
-            raw, none = [data[i] for i in of.tolist()], np.zeros(len(of), bool)
-            whole = Odds(counted(raw, none, Bytes.longest)[0], counted(raw, none, Bytes.words, words.look_at)[0], own)
+            raw = [data[i] for i in of.tolist()]
+            whole = Odds(read_in(raw, Bytes.longest), read_in(raw, Bytes.words, words.look_at), own)
             for some, nats, *_ in read(raw, whole, begun):
                 scores[of[some]] = -nats / math.log(10)
         name, row = words.all()

@@ -189,6 +189,15 @@ def test_start_is_fitted():
     assert (lm.fitted_start([]).weights == lm.Start().weights).all() and np.isfinite(lm.fitted_start([""]).weights).all()
 
 
+def test_numbers_of_bytes_by_hand():
+    """Those of the six bytes before and the byte itself, and each once as scoring reads them: the ones that counting finds."""
+    raw = [next(lm.pieces(lm.lowered(t))) for t in [*made_texts(20, seed=8), "", "a", " b\n\tc é"]]
+    want = [int.from_bytes(r[at - lm.LONGEST : at + 1], "little") for r in raw for at in range(lm.CONTEXT, len(r))]
+    assert lm.Bytes(raw).longest().tolist() == want
+    assert lm.read_in(raw, lm.Bytes.longest).tolist() == sorted(set(want))
+    assert (lm.read_in(raw, lm.Bytes.words) == lm.counted(raw, np.ones(len(raw), bool), lm.Bytes.words)[0]).all()
+
+
 def test_names_tell_contexts_apart():
     x = np.arange(1 << 20, dtype=np.uint64) * np.uint64(0x9E3779B9) & lm.LOW48
     assert len(np.unique(lm.mixed(x))) == len(np.unique(x)) and lm.mixed(x).max() <= lm.LOW48
