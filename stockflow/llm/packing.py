@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from . import common, slices
 
 CAPACITY = 1024
-#: Most words in an encoder's cache; it starts anew beyond that.
-CACHE_WORDS = 1 << 20
+#: Most words in an encoder's cache; it starts anew beyond that. Most that it keeps from task to task.
+CACHE_WORDS, KEPT_WORDS = 1 << 20, 1 << 19
 LONG_WORD = 64
 #: Code points below this are letters or not for all that know Unicode; marks that stand apart from the letters before them.
 SIMPLE, MARKS = 0x250, set(",.;:?!")
@@ -183,8 +183,8 @@ def encoder(path: str) -> Encoder:
 
 
 def forget(path: str) -> None:
-    """The encoder stays without its words: those of a task are of little use to the next one."""
-    if encoder.cache_info().currsize:
+    """The encoder stays, without its words if they are many: few ones are of use to the next task."""
+    if encoder.cache_info().currsize and encoder(path).n_words > KEPT_WORDS:
         encoder(path).forget()
 
 

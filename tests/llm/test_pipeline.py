@@ -76,4 +76,5 @@ def test_tasks_leave_no_words_to_their_workers(monkeypatch):
     docs, tokenizer = InThisProcess([(1, "some words of a text"), (2, None), (3, "other words")]), packing.default_tokenizer()
     assert near_dup.sketches(docs, 2) == 3 and not near_dup.WORDS
     monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0), "taskAttemptId": classmethod(lambda c: 0)}))
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
     assert packing.pieces(docs, tokenizer) == 3 and not packing.encoder(tokenizer).words
