@@ -156,18 +156,18 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     overall = [(total[f"n_{i}"] + 1) / smooth for i in range(n)]
 
     def prior(own: str, parent: list[Column]) -> list[Column]:
-        size = reduce(lambda a, b: a + b, (F.col(f"{own}_{i}") for i in range(n)))
-        return [(F.col(f"{own}_{i}") + PARENT * parent[i]) / (size + PARENT) for i in range(n)]
+        return [(F.col(f"{own}_{i}") + PARENT * parent[i]) / (F.col(f"{own}_size") + PARENT) for i in range(n)]
 
-    hosts = found.where("host is not null").groupBy("host", "own_domain", "own_suffix").agg(*counts("h"))
-    domains = hosts.groupBy("own_domain", "own_suffix").agg(*(F.sum(f"h_{i}").alias(f"d_{i}") for i in range(n)))
-    suffixes = domains.groupBy("own_suffix").agg(*(F.sum(f"d_{i}").alias(f"s_{i}") for i in range(n)))
+    sums = [*range(n), "size"]  # the size is the sum of the others, summed once: plans are to grow with n, not with its square
+    hosts = found.where("host is not null").groupBy("host", "own_domain", "own_suffix").agg(*counts("h"), F.count("first").alias("h_size"))
+    domains = hosts.groupBy("own_domain", "own_suffix").agg(*(F.sum(f"h_{i}").alias(f"d_{i}") for i in sums))
+    suffixes = domains.groupBy("own_suffix").agg(*(F.sum(f"d_{i}").alias(f"s_{i}") for i in sums))
     by_suffix = prior("s", [F.lit(x) for x in overall])
     domains = domains.alias("d").join(suffixes.alias("s"), F.col("d.own_suffix").eqNullSafe(F.col("s.own_suffix"))).select("d.*", *(c.alias(f"sp_{i}") for i, c in enumerate(by_suffix)))
     by_domain = prior("d", [F.col(f"sp_{i}") for i in range(n)])
     domains = domains.select(F.col("own_domain").alias("domain"), F.col("own_suffix").alias("suffix"), *(c.alias(f"dp_{i}") for i, c in enumerate(by_domain)))
     hosts = hosts.join(domains, (F.col("own_domain") == F.col("domain")) & F.col("own_suffix").eqNullSafe(F.col("suffix")))
-    hosts = common.written(hosts.select(F.col("host").alias("of_host"), F.col("own_suffix").alias("of_suffix"), *(f"h_{i}" for i in range(n)), *(f"dp_{i}" for i in range(n))), "host-priors")
+    hosts = common.written(hosts.select(F.col("host").alias("of_host"), F.col("own_suffix").alias("of_suffix"), *(f"h_{i}" for i in sums), *(f"dp_{i}" for i in range(n))), "host-priors")
 
     def given(key: str, label: str) -> DataFrame:
         """How likely each value of key is in each language, over all rows; a value's share in all of them smooths it."""
@@ -181,7 +181,7 @@ def identify(rows: DataFrame, model: Likelihoods, markup: bool = False, top: str
     joined = joined.join(declared, F.col("declared").eqNullSafe(F.col("of_declared")), "left").join(endings, F.col("own_suffix").eqNullSafe(F.col("of_ending")), "left")
     own = [F.when(F.col("first") == i, 1).otherwise(0) for i in range(n)]
     known = F.col("of_host").isNotNull()
-    size = reduce(lambda a, b: a + b, (F.col(f"h_{i}") - own[i] for i in range(n)))
+    size = F.col("h_size") - F.when(F.col("first").isNotNull(), 1).otherwise(0)
     evidence = []
     for i in range(n):
         at_host = F.when(known, (F.col(f"h_{i}") - own[i] + PARENT * F.col(f"dp_{i}")) / (size + PARENT)).otherwise(F.lit(overall[i]))
@@ -208,7 +208,8 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     if len(model.languages) == 1:
         return docs
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", F.lower("lang").alias("declared"), F.lower("source").alias("host"))
-    found = identify(rows, model)
+    # written, as a filter is put into the plan of what it reads, evidence of all languages and all, once for each use of it
+    found = common.written(identify(rows, model).select("doc_id", "h", "declared", "language", "text_language"), "languages")
     gone = (F.col("language") == OTHER) & (F.col("text_language") == OTHER)
     other = F.col("text_language").isNotNull() & (F.col("language") != OTHER) & ~F.col("language").eqNullSafe(F.col("declared"))
     verdicts = found.where(gone | other).groupBy("doc_id", "h").agg(F.max(gone).alias("gone"), F.min(F.when(other, F.col("language"))).alias("language"))

@@ -76,6 +76,22 @@ def test_sample_of_a_language_is_bounded(spark):
     assert got.count("en") == 50 and got.count("de") == 30
 
 
+def test_plans_grow_with_languages_only(spark, monkeypatch):
+    """The driver compiles code for every plan: sums over languages within the evidence of each, in each use of the best, took most of its memory."""
+
+    def largest(n):
+        sizes, written = [], li.common.written
+        monkeypatch.setattr(li.common, "written", lambda df, label: sizes.append(df._jdf.queryExecution().optimizedPlan().toJSON().count('"class"')) or written(df, label))
+        docs = spark.createDataFrame([(i, f"{chr(97 + i % n) * 3} text {i}", f"l{i % n}", f"h{i % 3}.example.com") for i in range(4 * n)], "doc_id long, text string, lang string, source string")
+        found = li.in_known_language(docs)
+        assert found.count() > 0
+        monkeypatch.setattr(li.common, "written", written)
+        return max(sizes)
+
+    few, many = largest(4), largest(8)
+    assert many < 2.5 * few and many < 20_000
+
+
 def test_language_found_is_kept(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
     wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.lit(None)).otherwise(F.col("lang")))
