@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -24,8 +25,9 @@ PREDICTORS = LONGEST + 1
 WHOLE = PREDICTORS
 #: Sets of weights that a byte chooses from: one for each number of predictors beyond the second that know what stands before it.
 GATES = LONGEST - 1
-#: Bytes of context kept before a text or a piece of one; bytes of the pieces that a longer text is cut into; bytes of pieces mixed side by side.
-CONTEXT, PIECE, BATCH = 64, 1 << 19, 1 << 19
+#: Bytes of context kept before a text or a piece of one; bytes of the pieces that a longer text is cut into; bytes of pieces mixed side by side, how many
+#: of these are taken at once, and how many are looked up at once: few enough for a processor's own cache.
+CONTEXT, PIECE, BATCH, SIDE_BY_SIDE, READ = 64, 1 << 19, 1 << 18, 1 << 12, 1 << 17
 #: Bytes of texts whose contexts are looked up together; bytes of the corpus for each part of a predictor's table, and the most parts of the tables of short contexts.
 CHUNK, SHARE, MOST_PARTS = 12 << 20, 1 << 24, {0: 1 << 5, 1: 1 << 8, 2: 1 << 11}
 #: Count added to either side of a bit; steps of a log-odd in 1; start and speed of the weights, and after how many bytes that is halved.
@@ -85,31 +87,26 @@ class Bytes:
         starts = np.cumsum(self.sizes + CONTEXT) - self.sizes - CONTEXT
         own = np.ones(len(stream), bool)
         own[(starts[:, None] + np.arange(CONTEXT)).ravel()] = False
-        self.stream, self.own, self.starts, self.total = stream, np.flatnonzero(own), starts, None
+        self.stream, self.own, self.starts, self.total = stream, own, starts, None
 
     def sums(self) -> np.ndarray:
         if self.total is None:
             self.total = slices.sums(self.stream)
         return self.total
 
-    def place(self) -> np.ndarray:
-        """Each byte's place in its piece."""
-        return np.arange(len(self.own)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-
     def longest(self) -> np.ndarray:
         """Each byte and the LONGEST before it in one number, the byte itself the highest."""
         padded = np.append(self.stream, np.zeros(8, np.uint8))
         runs = np.ndarray(len(self.stream), "<u8", padded, strides=(1,))  # at each byte, eight from there on
-        return (runs & U((1 << 8 * (LONGEST + 1)) - 1))[self.own - LONGEST]
+        return runs[:-LONGEST][self.own[LONGEST:]] & U((1 << 8 * (LONGEST + 1)) - 1)  # CONTEXT is longer, so that no piece's own bytes are cut
 
     def words(self) -> np.ndarray:
         """A hash of 48 bits of the word so far, and the byte that follows, in one number."""
         total = self.sums()
-        start = np.zeros(len(self.stream), np.int32)
-        np.multiply(self.stream[:-1] <= 32, np.arange(1, len(self.stream), dtype=np.int32), out=start[1:])
-        np.maximum.accumulate(start, out=start)
-        context = total[:-1] - total[start]
-        context *= slices.FALL[start]
+        starts = np.append(0, np.flatnonzero(self.stream[:-1] <= 32) + 1)
+        runs = np.diff(starts, append=len(self.stream))
+        context = total[:-1] - np.repeat(total[starts], runs)
+        context *= np.repeat(slices.FALL[starts], runs)
         context ^= context >> U(29)
         context *= U(0xBF58476D1CE4E5B9)
         context >>= U(16)
@@ -124,11 +121,11 @@ class Bytes:
         return name, np.searchsorted(self.starts, starts, side="right") - 1
 
 
-def batches_of(raw: list[bytes]) -> Iterator[list[int]]:
-    """Places of pieces of BATCH bytes together, the longest first."""
+def batches_of(raw: list[bytes], most: int) -> Iterator[list[int]]:
+    """Places of pieces of so many bytes together, the longest first."""
     held, weight = [], 0
     for i in sorted(range(len(raw)), key=lambda i: -len(raw[i])):
-        if held and (weight + len(raw[i]) > BATCH or len(held) == 4096):
+        if held and (weight + len(raw[i]) > most or len(held) == 4096):
             yield held
             held, weight = [], 0
         held.append(i)
@@ -152,22 +149,24 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, np.empty(0, np.int64)
     keys.sort()
-    edges, before = [], ~(keys[:1] >> U(1))
-    for at in range(0, len(keys), BLOCK):
-        some = keys[at : at + BLOCK] >> U(1)
-        edges.append(np.flatnonzero(np.diff(some, prepend=before)) + at)
-        before = some[-1:]
+    edges = [np.zeros(1, np.int64)]
+    for at in range(1, len(keys), BLOCK):
+        some = keys[at : at + BLOCK]
+        edges.append(np.flatnonzero(some != keys[at - 1 : at - 1 + len(some)]) + at)
     edges = np.concatenate(edges)
-    ones = (keys & U(1)).astype(np.uint8)
-    return keys[edges] >> U(1), np.add.reduceat(ones, edges, dtype=np.int64)
+    kinds, times = keys[edges], np.diff(edges, append=len(keys))
+    times *= (kinds & U(1)).view(np.int64)
+    kinds >>= U(1)
+    first = np.flatnonzero(np.diff(kinds, prepend=~kinds[:1]))  # of a number without and with a 1
+    return kinds[first], np.add.reduceat(times, first)
 
 
 def counted(raw: list[bytes], train: np.ndarray, kind: Callable[[Bytes], np.ndarray], look_at: Callable[[Bytes, list[int]], None] = lambda read, some: None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers of a kind, Bytes.longest or Bytes.words, each with its occurrences in those pieces that train marks. look_at sees each batch, and the places of its pieces."""
     keys, at = np.empty(sum(map(len, raw)) - CONTEXT * len(raw), np.uint64), 0
-    for some in batches_of(raw):
+    for some in batches_of(raw, READ):
         read = Bytes([raw[i] for i in some])
-        end = at + len(read.own)
+        end = at + int(read.sizes.sum())
         np.bitwise_or(kind(read) << U(1), np.repeat(train[some].astype(np.uint64), read.sizes), out=keys[at:end])
         look_at(read, some)
         at = end
@@ -176,13 +175,12 @@ def counted(raw: list[bytes], train: np.ndarray, kind: Callable[[Bytes], np.ndar
 
 def read_in(raw: list[bytes], kind: Callable[[Bytes], np.ndarray], look_at: Callable[[Bytes, list[int]], None] = lambda read, some: None) -> np.ndarray:
     """The distinct numbers of counted, without their occurrences."""
-    keys, at = np.empty(sum(map(len, raw)) - CONTEXT * len(raw), np.uint64), 0
-    for some in batches_of(raw):
+    keys = [np.zeros(0, np.uint64)]
+    for some in batches_of(raw, READ):
         read = Bytes([raw[i] for i in some])
-        keys[at : at + len(read.own)] = kind(read)
+        keys.append(kinds_of(kind(read)))
         look_at(read, some)
-        at += len(read.own)
-    return kinds_of(keys)
+    return kinds_of(np.concatenate(keys))
 
 
 def shorter(longest: np.ndarray, counts: np.ndarray, placed: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -207,23 +205,33 @@ def names(keys: np.ndarray, predictor: int) -> np.ndarray:
 
 
 class Places:
-    """Where known numbers are in a list, by buckets of their hashes."""
+    """Where known numbers are in a list that has each once, by buckets of their hashes. Only in a bucket of several are they compared."""
 
     def __init__(self, keys: np.ndarray):
         bits = len(keys).bit_length() + 2
-        h, self.shift = slices.spread(keys), U(64 - bits)
-        self.order = slices.ranked(h)
+        self.shift = U(64 - bits)
+        h = self.hashed(keys)
+        self.order = slices.ranked(h).astype(np.int32)
         self.keys = keys[self.order]
-        sizes = np.bincount((h >> self.shift).astype(np.int64), minlength=1 << bits)
-        self.first = (np.cumsum(sizes) - sizes).astype(np.int32)
+        bucket = (h[self.order] >> self.shift).view(np.int64)
+        begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+        #: A bucket's one place, or where its several begin in `keys`, inverted. Empty buckets are never asked for.
+        self.first = np.empty(1 << bits, np.int32)
+        self.first[bucket[begin]] = np.where(np.diff(begin, append=len(keys)) == 1, self.order[begin], ~begin)
+
+    @staticmethod
+    def hashed(keys: np.ndarray) -> np.ndarray:
+        return (keys ^ (keys >> U(29))) * U(slices.GROW)
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
-        """Places in the order of self.order."""
-        at = self.first[(slices.spread(wanted) >> self.shift).astype(np.int64)]
-        open_ = np.flatnonzero(self.keys[at] != wanted)
+        at = self.first[(self.hashed(wanted) >> self.shift).view(np.int64)]
+        several = np.flatnonzero(at < 0)
+        wanted, near = wanted[several], ~at[several]
+        open_ = np.flatnonzero(self.keys[near] != wanted)
         while len(open_):
-            at[open_] += 1
-            open_ = open_[self.keys[at[open_]] != wanted[open_]]
+            near[open_] += 1
+            open_ = open_[self.keys[near[open_]] != wanted[open_]]
+        at[several] = self.order[near]
         return at
 
 
@@ -419,27 +427,35 @@ class Odds:
 
     def __init__(self, longest: np.ndarray, words: np.ndarray, odds: list[np.ndarray]):
         self.longest, self.words = Places(longest), Places(words)
-        self.table = np.empty((len(longest), LONGEST), np.uint64)
+        self.table = np.empty((len(longest), 2, LONGEST), np.uint32)  # a byte's first four bits, of all predictors, before its last four
         for p, keys, _, place in shorter(longest, np.zeros(len(longest), np.int64), placed=True):
             own = np.empty(len(keys), np.uint64)
             own[slices.ordered(names(keys, p), 56)] = odds[p].view(np.uint64).ravel()
             odds[p] = None  # no longer needed, and large
-            self.table[:, p] = own[place[self.longest.order]]
+            self.table[:, :, p] = own[place].view(np.uint32).reshape(-1, 2)
         # a byte's gate: how many contexts of more than two bytes training texts have, which their odds of the first bit tell
-        self.gates = (self.table[:, 2:].view(np.int8).reshape(-1, LONGEST - 2, 8)[:, :, 0] != 0).sum(axis=1, dtype=np.uint8) if len(longest) else np.zeros(0, np.uint8)
-        self.by_word = odds[LONGEST].view(np.uint64).ravel()[self.words.order]
-        odds[LONGEST] = self.longest.order = self.words.order = None
-
-    def of(self, read: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order of the bytes by step and gate, each one's step and gate in one number, and (PREDICTORS, bytes, 8) odds, in that order."""
-        longest, step = self.longest.of(read.longest()), STEP_OF[read.place()]
-        at = step.astype(np.uint16) * np.uint16(GATES) + self.gates[longest]
+        self.gates = (self.table[:, 0, 2:] & np.uint32(255) != 0).sum(axis=1, dtype=np.uint8)
+        self.by_word = odds[LONGEST].view(np.uint64).ravel()
+
+    def of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces by size descending, the order of the bytes by step and gate; in that order, each one's step and gate in one number, and its places in table and by_word."""
+        each = []
+        for some in batches_of(raw, READ):
+            read = Bytes([raw[i] for i in some])
+            each.append((self.longest.of(read.longest()), self.words.of(read.words()), *(STEP_OF[:n] for n in read.sizes.tolist())))
+        longest, words = (np.concatenate([x[i] for x in each]) for i in range(2))
+        at = np.concatenate([step for x in each for step in x[2:]]).astype(np.uint16)
+        at *= np.uint16(GATES)
+        at += self.gates[longest]
         order = np.argsort(at, kind="stable")
-        out = np.empty((PREDICTORS, len(order)), np.uint64)
-        for a in range(0, len(order), 4096):
-            out[:LONGEST, a : a + 4096] = self.table.take(longest[order[a : a + 4096]], axis=0).T
-        out[LONGEST] = self.by_word[self.words.of(read.words())[order]]
-        return order, at[order], out.view(np.int8).reshape(PREDICTORS, -1, 8)
+        return order, at[order], longest[order], words[order]
+
+    def put(self, longest: np.ndarray, words: np.ndarray, out: np.ndarray) -> None:
+        """(halves, PREDICTORS, bytes * 4) odds of the bytes at these places."""
+        rows = np.empty((2, PREDICTORS, len(longest)), np.uint32)
+        rows[:, :LONGEST] = self.table.take(longest, axis=0).transpose(1, 2, 0)
+        rows[:, LONGEST] = self.by_word.take(words).view(np.uint32).reshape(-1, 2).T
+        out[:] = rows.view(np.int8)
 
 
 class Start:
@@ -451,62 +467,82 @@ class Start:
         self.came = np.tile(30 / (1 + np.exp(-centre)), (2, 1))
 
 
-def mix(odds: np.ndarray, at: np.ndarray, sizes: np.ndarray, order: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def mix(odds: Odds, raw: list[bytes], start: Start) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Nats of each piece, pieces by size descending; their weights at the end, the bytes that each gate has had, and the refining tables.
 
     Pieces are read side by side, each on its own: all take their next step at once, and the bytes of a step stand by gate and piece. In a step a byte's bits are
     mixed by the weights of its piece and gate, and refined by how often bits of such odds have come in the piece; then weights and table follow
     what came. Log-odds are those of the bit that came, so ones and zeros are alike: a bucket and its mirror image sum to 1.
+    Within a step, SIDE_BY_SIDE bytes at a time are taken from their odds to what they add to weights and table: few enough for a processor's own cache.
     """
-    n = len(sizes)
+    order, at, longest, words = odds.of(raw)
+    n, sizes = len(raw), np.array([len(r) - CONTEXT for r in raw])
     doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
     step, gate = np.divmod(at, np.uint16(GATES))
     which = doc * GATES + gate
+    del order, gate
     weights = np.tile(start.weights, (1, 1, n))  # (2, PREDICTORS, n * GATES)
     came = np.tile(start.came, (n, 1)).ravel()  # (n * 2 * BUCKETS)
     seen, nats = np.zeros(n * GATES), np.zeros(n)
     edges = np.append(0, np.cumsum(np.bincount(step)))
-    half = (np.arange(2, dtype=np.int32) * BUCKETS + BUCKETS // 2)[:, None, None]
-    room = np.empty(8 * PREDICTORS * int(np.diff(edges).max()), np.float32)
+    cuts = np.concatenate([np.arange(a, b, SIDE_BY_SIDE) for a, b in zip(edges, edges[1:], strict=False)])  # where what is taken at once begins
+    new = np.empty(len(which), bool)  # where a piece's bytes of a gate begin
+    np.not_equal(which[1:], which[:-1], out=new[1:])
+    new[edges[:-1]] = True
+    first = np.append(np.flatnonzero(new), len(which))
+    groups = np.searchsorted(first, edges).tolist()  # each step's first
+    both = new.copy()
+    both[cuts] = True
+    begins = np.flatnonzero(both)
+    lengths, group = np.diff(begins, append=len(which)), np.cumsum(new[begins]) - 1
+    del at, step, new, both
+    taken = zip(cuts.tolist(), np.append(cuts[1:], len(which)).tolist(), *(np.append(x, len(begins)).tolist() for x in (np.searchsorted(begins, cuts), np.searchsorted(begins, cuts[1:]))), strict=False)
+    half = (np.arange(2) * BUCKETS + BUCKETS // 2).astype(np.float32)[:, None]
+    room = np.empty(8 * PREDICTORS * SIDE_BY_SIDE, np.float32)
     alive = n - np.searchsorted(sizes[::-1], STEPS, side="right")  # pieces with a byte after the step's begin
-    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        here, m = int(alive[i]), b - a
-        x = room[: 8 * PREDICTORS * m].reshape(8, PREDICTORS, m)
-        for bit in range(8):
-            x[bit] = odds[:, a:b, bit]
-        x = x.reshape(2, 4, PREDICTORS, m)
-        first = np.flatnonzero(np.diff(which[a:b], prepend=-1))
-        some, runs = which[a:b][first], np.diff(first, append=m)
-        dot = np.einsum("hbpm,hpm->hbm", x, np.repeat(weights[:, :, some], runs, axis=2))
-        np.clip(dot, -8, 8, out=dot)
-        bucket = np.rint(dot * np.float32(FINE)).astype(np.int32)
-        bucket += half
-        bucket += doc[a:b] * (2 * BUCKETS)
-        p = np.exp(np.negative(dot, out=dot), out=dot)
-        p += 1
-        np.reciprocal(p, out=p)
+    for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+        here, some, runs = int(alive[i]), which[first[groups[i] : groups[i + 1]]], np.diff(first[groups[i] : groups[i + 1] + 1])
+        own, slopes, logs = weights[:, :, some], np.zeros((2, PREDICTORS, len(some)), np.float32), np.zeros(len(some))
+        four = np.repeat(own, 4, axis=2).view(np.complex128)  # a weight for each bit of a half: 16 bytes that are moved as one
+        row = (some // GATES * (2 * BUCKETS)).astype(np.float32)  # whole numbers of less than 2**24, so exact
         table = came[: here * 2 * BUCKETS].reshape(-1, BUCKETS)
         total = table + table[:, ::-1]
-        refined = (table / total).astype(np.float32).take(bucket)
-        refined += p
-        both = refined[:, 0::2] * refined[:, 1::2]
-        both = both[0] * both[1]
-        np.subtract.at(nats, some // GATES, np.add.reduceat(np.log(both[0] * both[1] * np.float32(1 / 256)), first, dtype=np.float64))
+        chance, fresh = (table / total).astype(np.float32), np.zeros(table.size, np.int64)
+        for c, d, v, w in itertools.islice(taken, -(-(b - a) // SIDE_BY_SIDE)):
+            begin, each, l, r = begins[v:w] - c, lengths[v:w], group[v] - groups[i], group[w - 1] + 1 - groups[i]
+            x = room[: 8 * PREDICTORS * (d - c)].reshape(2, PREDICTORS, -1)
+            odds.put(longest[c:d], words[c:d], x)
+            dot = np.einsum("hpk,hpk->hk", x, np.repeat(four[:, :, l:r], each, axis=2).view(np.float32))
+            dot.clip(-8, 8, out=dot)
+            bucket = np.rint(dot * np.float32(FINE))
+            bucket += half
+            bucket += np.repeat(row[l:r], each * 4)
+            bucket = bucket.ravel().astype(np.int64)
+            p = np.exp(np.negative(dot, out=dot), out=dot)
+            p += 1
+            np.reciprocal(p, out=p)
+            refined = chance.take(bucket).reshape(2, -1)
+            refined += p
+            both = refined[0] * refined[1]
+            both = both[0::2] * both[1::2]
+            both = both[0::2] * both[1::2]
+            logs[l:r] += np.add.reduceat(np.log(both * np.float32(1 / 256)), begin, dtype=np.float64)
+            fresh += np.bincount(bucket, minlength=len(fresh))
+            x *= np.subtract(1, p, out=p)[:, None]
+            slopes[:, :, l:r] += np.add.reduceat(x, begin * 4, axis=2)
+        np.subtract.at(nats, some // GATES, logs)
         table *= np.minimum(1, REMEMBERED / total)
-        came[: here * 2 * BUCKETS] += np.bincount(bucket.ravel(), minlength=here * 2 * BUCKETS)
+        came[: here * 2 * BUCKETS] += fresh
         seen[some] += runs
-        slope = np.einsum("hbpm,hbm->hpm", x, np.subtract(1, p, out=p))
         rate = (SPEED / SCALE / SCALE) / (1 + seen[some] / HALVED)
-        weights[:, :, some] += rate * np.add.reduceat(slope, first, axis=2)
+        weights[:, :, some] += rate * slopes
     return nats, weights.reshape(2, PREDICTORS, n, GATES), seen.reshape(n, GATES), came.reshape(n, 2, BUCKETS)
 
 
 def read(raw: list[bytes], odds: Odds, start: Start) -> Iterator[tuple]:
     """What mix gives, batch by batch, after the places of the batch's pieces."""
-    for some in batches_of(raw):
-        own = Bytes([raw[i] for i in some])
-        order, at, x = odds.of(own)
-        yield some, *mix(x, at, own.sizes, order, start)
+    for some in batches_of(raw, BATCH):
+        yield some, *mix(odds, [raw[i] for i in some], start)
 
 
 def local_odds(counts_of: list[bytes], of: list[bytes]) -> Odds:

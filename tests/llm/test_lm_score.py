@@ -189,6 +189,30 @@ def test_start_is_fitted():
     assert (lm.fitted_start([]).weights == lm.Start().weights).all() and np.isfinite(lm.fitted_start([""]).weights).all()
 
 
+@pytest.mark.parametrize(("side", "read", "batch"), [(1, 70, 300), (7, 1, 5000), (64, 1 << 17, 1 << 18)])
+def test_sizes_taken_at_once_change_no_score(monkeypatch, side, read, batch):
+    """Steps are cut within runs of a gate, and look-ups between pieces: each piece's nats stay those of a reading bit by bit."""
+    for name, size in (("SIDE_BY_SIDE", side), ("READ", read), ("BATCH", batch)):
+        monkeypatch.setattr(lm, name, size)
+    texts, others = made_texts(20, seed=6), [*made_texts(12, seed=7), "", "a", "Ünïcode 😀 text"]
+    raw = [next(lm.pieces(lm.lowered(t))) for t in others]
+    odds = lm.local_odds([next(lm.pieces(lm.lowered(t))) for t in texts], raw)
+    nats = {}
+    for some, found, *_ in lm.read(raw, odds, lm.Start()):
+        nats |= dict(zip(some, found, strict=True))
+    for i, x in enumerate(odds_by_hand(others, texts)):
+        assert nats[i] == pytest.approx(nats_by_hand(x, lm.Start()), rel=1e-4)
+
+
+def test_places_of_crowded_buckets(monkeypatch):
+    """Numbers alone in their buckets are found uncompared, others by comparison."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 56, 3000, dtype=np.uint64))
+    wanted = np.random.default_rng(3).integers(0, len(keys), 9000)
+    assert (lm.Places(keys).of(keys[wanted]) == wanted).all()
+    monkeypatch.setattr(lm.Places, "hashed", staticmethod(lambda x: x << lm.U(53)))  # eight buckets
+    assert (lm.Places(keys).of(keys[wanted]) == wanted).all()
+
+
 def test_numbers_of_bytes_by_hand():
     """Those of the six bytes before and the byte itself, and each once as scoring reads them: the ones that counting finds."""
     raw = [next(lm.pieces(lm.lowered(t))) for t in [*made_texts(20, seed=8), "", "a", " b\n\tc é"]]
