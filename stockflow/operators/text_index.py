@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grid import searched
@@ -35,12 +37,27 @@ def index(rows: DataFrame, key: str, columns: list[str], block: int = 1) -> Data
     Ranges go by gram and key, so that a gram which nearly all rows hold takes several parts. A key that recurs has the grams of all its rows. With a block above 1 key is the number of a block of
     keys (place), whose rows meet in one task and have each text, then each gram once: the table grows with the blocks, not with all letters of all rows.
     """
-    texts = F.array(*(F.struct(F.lit(i).alias("field"), folded(rows, c).alias("text")) for i, c in enumerate(columns)))
-    rows = rows.select(place(F.col(key), block).alias("key"), texts.alias("texts")) if block == 1 else rows.select(place(F.col(key), block).alias("key"), *columns).repartition("key").select("key", texts.alias("texts"))
-    each = rows.select("key", F.explode("texts").alias("of")).select("key", "of.field", "of.text")
-    each = each if block == 1 else each.distinct()
-    each = each.select("key", "field", F.explode(grams(F.col("text"))).alias("gram"))
-    each = each if block == 1 else each.distinct()
+    if block > 1:
+        return index_of_parts([(rows.select(place(F.col(key), block).alias("place"), *columns).repartition("place"), columns)], "place", columns)
+    return dealt(texts(rows, key, columns, columns).select("key", "field", F.explode(grams(F.col("text"))).alias("gram")))
+
+
+def texts(rows: DataFrame, key: str, own: list[str], columns: list[str]) -> DataFrame:
+    """(key, field, text): a row for each of the columns `own` of a row, whose field is its number among columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(columns.index(c)).alias("field"), folded(rows, c).alias("text")) for c in own)))
+    return rows.select(F.col(key).alias("key"), each.alias("of")).select("key", "of.field", "of.text")
+
+
+def index_of_parts(parts: list[tuple[DataFrame, list[str]]], key: str, columns: list[str]) -> DataFrame:
+    """index() by blocks, of rows whose columns come from several relations: each has the number of a block (place) as key, and its share of columns.
+
+    Texts of other tables need not be carried with rows: what meets such a table is the block and its id. Each part has each text of a block once before it has grams.
+    """
+    each = [texts(rows, key, own, columns).distinct().select("key", "field", F.explode(grams(F.col("text"))).alias("gram")).distinct() for rows, own in parts]
+    return dealt(reduce(DataFrame.unionByName, each))
+
+
+def dealt(each: DataFrame) -> DataFrame:
     return each.select("gram", "field", "key").repartitionByRange("gram", "key").sortWithinPartitions("gram", "key")
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import audit, grid, qualification, replenishment as rp, special_orders as so, text_index
 from ..sources import tables as t
 from ..sources.kept import kept
-from .orders import matched
+from .orders import flagged, matched
 from .stock import _QTY, INPUTS, all_recommendations
 from .vendors import ORACLES as VENDORS, brand_vendors, lead_time_median
 from .views import VIEWS, over
-from .worklists import _MORE, ORACLES as WORKLISTS, enriched
+from .worklists import _MORE, ORACLES as WORKLISTS, enriched, with_items, with_supply
 
 NEEDLES = ("Brand#13", "11", "y/brand#2")
 ITEM_TEXTS = ["description", "sku", "brand", "category_path"]
@@ -25,11 +25,21 @@ ID_BLOCK = 65536
 def indexed_order_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_search by a table of the trigrams of each block of ids, that is kept; orders of blocks that hold the text are looked through."""
     inputs = [f"{sf_dir}/{name}.parquet" for name in INPUTS]
-    table = kept(spark, "order-trigram-blocks", inputs, lambda: text_index.index(enriched(spark, sf_dir), "special_order_id", so.SEARCHED, ID_BLOCK))
+    table = kept(spark, "order-trigram-blocks", inputs, lambda: order_index(spark, sf_dir))
     rows = enriched(spark, sf_dir).where("flag <> 'none' and shop_id = 1")
     return text_index.search(rows, table, " #00000000 ", "special_order_id", so.SEARCHED, ID_BLOCK).select("special_order_id", "flag", "shop_id", "vendor_name")
 
 
+def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigrams of each block of orders: own texts move to their block, those of items and vendors are met by ids."""
+    rows = flagged(spark, sf_dir).withColumn("block", text_index.place(F.col("special_order_id"), ID_BLOCK))
+    of_items, of_vendors = ["description", "brand", "vendor_names"], ["vendor_name"]
+    own = [c for c in so.SEARCHED if c not in of_items + of_vendors]
+    by_item = with_supply(with_items(rows.select("block", "item_id", "shop_id"), spark, sf_dir), spark, sf_dir)
+    by_vendor = rows.select("block", "vendor_id").distinct().join(t.vendors(spark, sf_dir), "vendor_id")
+    return text_index.index_of_parts([(rows.select("block", *own).repartition("block"), own), (by_item, of_items), (by_vendor, of_vendors)], "block", so.SEARCHED)
+
+
 def indexed_item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that hold a text in one of ITEM_TEXTS, for each of several texts, one of them too short for the index."""
     rows = t.items(spark, sf_dir)
@@ -65,7 +75,7 @@ def special_order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     line_time = F.when(F.col("sale_id") % 6 != 0, F.col("created_date"))
     rows = rows.withColumn("created_date", so.created_day(line_time, F.date_add("created_date", 2)))
     rows = so.with_flag(so.with_stage(rows), t.AS_OF)
-    sales = t.sales(spark, sf_dir).select("sale_id", "customer_id", "customer_name", F.col("received").alias("po_complete"))
+    sales = t.sales(spark, sf_dir).select("sale_id", "customer_id", F.col("received").alias("po_complete"))
     fourth = F.col("item_id") % 4 == 0
     items = t.items(spark, sf_dir).select("item_id", "brand", F.when(fourth, " ").otherwise(F.col("description")).alias("item_text"), F.when(fourth, "").otherwise(F.col("sku")).alias("upc"))
     rows = rows.join(sales, "sale_id", "left").join(items, "item_id", "left").join(t.vendors(spark, sf_dir), "vendor_id", "left")

@@ -64,6 +64,44 @@ def test_an_index_of_blocks_finds_the_same_with_fewer_rows(spark, texts):
     assert text_index.index(same, "id", ["t"], block=1000).count() == 11
 
 
+def test_an_index_of_parts_is_that_of_whole_rows(spark, texts):
+    """Texts of other tables meet the blocks by an id, and needn't move with rows."""
+    _, rows, _ = texts
+    rows = rows.withColumns({"block": text_index.place(F.col("id"), 64), "kind": F.length("name") % 3})
+    kinds = spark.createDataFrame([(0, "no bolt", ["A", "b"]), (1, None, []), (2, "large RING", None)], "kind int, note string, names array<string>")
+    whole = rows.drop("note", "names").join(kinds, "kind", "left")
+    parts = [(rows, ["name"]), (rows.select("block", "kind").distinct().join(kinds, "kind"), ["note", "names"])]
+    got = sorted(map(tuple, text_index.index_of_parts(parts, "block", COLUMNS).collect()), key=str)
+    assert got == sorted(map(tuple, text_index.index(whole, "id", COLUMNS, block=64).collect()), key=str) and {f for _, f, _ in got} == {0, 1, 2}
+
+
+def test_the_index_of_orders_moves_ids_for_texts_of_items_and_vendors(spark, sf):
+    """It has the grams of enriched orders. Rows aren't exchanged for their customer, and prices not at all."""
+    from test_orders import _unaided
+
+    from stockflow.plans import lookups, worklists
+    from stockflow.sources import tables as t
+
+    whole = text_index.index(worklists.enriched(spark, sf), "special_order_id", so.SEARCHED, lookups.ID_BLOCK)
+    assert sorted(map(tuple, lookups.order_index(spark, sf).collect())) == sorted(map(tuple, whole.collect()))
+    exchanges = [x for x in _unaided(spark, lambda: worklists.enriched(spark, sf)).splitlines() if "Exchange" in x]
+    assert exchanges and "sale_id" not in "".join(exchanges)
+    assert "l_extendedprice" not in _unaided(spark, lambda: t.special_orders(spark, sf))
+
+
+def test_special_orders_meet_their_match_as_lines(spark, sf):
+    """Columns that follow from others are added after the exchange and the sort by sku; the rows are those of whole special orders."""
+    from stockflow.plans import orders
+    from stockflow.sources import tables as t
+
+    got, want = orders.matched(spark, sf), so.with_keys(t.special_orders(spark, sf), orders.web_keys(spark, sf))
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    keyed = so.with_keys(t.special_lines(spark, sf).withColumns({"k_email": F.lower("customer_name"), "k_sku": F.col("item_id").cast("string")}), orders.web_keys(spark, sf))
+    assert not {"status_text", "po_id", "customer_email", "system_sku"} & set(keyed.columns)
+
+
 def test_flags(spark):
     rows = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True)], "id int, a boolean, b boolean")
     ids = lambda flags: sorted(r.id for r in grid.ticked(rows, flags).collect())

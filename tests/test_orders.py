@@ -136,6 +136,13 @@ def test_large_tables_of_orders_are_exchanged_once_for_their_keys(spark):
     assert "Join" not in plan and sum("hashpartitioning(k_sku#" in line and "REPARTITION_BY_COL" in line for line in exchanges) == 1
 
 
+def test_rows_are_sorted_once_for_both_windows_of_their_match(spark):
+    rows, web = spark.createDataFrame([order(1)], ORDER), spark.createDataFrame([(1, "#1", "a@x", "s", None, None)], WEB)
+    lines = _unaided(spark, lambda: so.with_keys(rows, so.keyed_orders(web))).splitlines()
+    above = lines[: next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)]
+    assert sum("Sort [" in line for line in above) == 1 and sum("Window [" in line for line in above) == 2
+
+
 def test_versions_are_told_apart_where_the_lines_of_a_sale_stand(spark, sf):
     from stockflow.sources import tables as t
     from stockflow.plans import stock
